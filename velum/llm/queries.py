@@ -2,7 +2,9 @@
 
 from velum.llm.decontaminate import OP10_SQL, op10_decontaminate
 from velum.llm.language import op2_language
+from velum.llm.linededup import op9_line_dedup
 from velum.llm.mixing import OP7_SQL, op7_mixing
+from velum.llm.pii import op8_pii
 from velum.llm.secrets import op6_secrets
 from velum.llm.sharding import op4_sharding
 from velum.llm.simhash import op5_simhash
@@ -17,6 +19,8 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
+    "op8_pii": op8_pii,
+    "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 
