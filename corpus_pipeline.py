@@ -30,8 +30,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which benchmark items don't occur."""
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents in which no benchmark item occurs, not even one window of it."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), items=1)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
