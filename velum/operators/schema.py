@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Field:
+    """A field; its default is a value or a function that gives a Column of the row."""
+
     type: str
     required: bool = False
-    default: Column | None = None
+    default: object = None
     check: Callable[[Column], Column] | None = None
 
 
@@ -59,5 +61,5 @@ def normalize(schema: Schema, df: DataFrame) -> DataFrame:
     out = {}
     for n, f in schema.fields.items():
         c = F.when(F.size(n) > 0, F.col(n)) if f.type.startswith(("array", "map")) else F.col(n)
-        out[n] = F.coalesce(c, f.default) if f.default is not None else c
+        out[n] = F.coalesce(c, f.default() if callable(f.default) else F.lit(f.default)) if f.default is not None else c
     return df.withColumns(out)

@@ -7,15 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from velum.functions import columns as fn
 from velum.operators import bloom, graph, merge
 from velum.operators.query import Query
-from velum.operators.schema import Field, Schema, SchemaRegistry, normalize, validate
+
 from velum.plans.relations import Tables, with_relations
 from velum.sources import log
-from velum.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder of the cluster, ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="velum-")).rstrip("/")
+
+
 def read_json_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A log of one JSON object a line, up to the first line that isn't complete.
 

@@ -37,11 +37,11 @@ class LiveHeads:
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", where).trigger(availableNow=True).start()
 
 
-def follow(spark: SparkSession, source: str, root: str, change: Callable[[DataFrame], DataFrame], files: int = 1) -> DataFrame:
-    """Stream a folder of Parquet files through ``LiveHeads`` to its end and return the heads."""
-    schema = spark.read.parquet(source).schema
+def follow(spark: SparkSession, folder: str, files: str, root: str, change: Callable[[DataFrame], DataFrame], at_once: int = 1) -> DataFrame:
+    """Stream a folder's Parquet files of some name through ``LiveHeads`` to their end and return the heads."""
+    schema = spark.read.parquet(f"{folder}/{files}").schema
     live = LiveHeads(spark, root)
-    live.start(change(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source))).awaitTermination()
+    live.start(change(spark.readStream.schema(schema).option("maxFilesPerTrigger", at_once).option("pathGlobFilter", files).parquet(folder))).awaitTermination()
     return live.table()
 
 
