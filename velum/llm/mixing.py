@@ -20,8 +20,7 @@ def word_count(text: Column) -> Column:
 
 def quality(text: Column, size: Column) -> Column:
     """The default weight of a document: 2 if its words have 3 to 12 characters on average, with the white space, else 1."""
-    mean = F.length(text) / size
-    return F.when((size > 0) & mean.between(3.0, 12.0), 2.0).otherwise(1.0)
+    return F.when((size > 0) & F.length(text).between(3 * size, 12 * size), 2.0).otherwise(1.0)
 
 
 def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
