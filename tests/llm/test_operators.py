@@ -164,10 +164,19 @@ def test_components_equal_brute_force(spark):
     for tile in (2048, 2):  # 2: nearly every bucket is dealt out in tiles
         got = {x.id: x.component_id for x in simhash_components(df, tile=tile).collect() if x.id is not None}
         assert [got[i] for i in range(len(fps))] == want
-    kept = {x.doc_id for x in near_dedup(df).collect()}
+    kept = {x.doc_id for x in near_dedup(df, similarity=None).collect()}
     assert kept == set(want) | {None}
 
 
+def test_near_dedup_counts_shingles(spark):
+    words = [f"word{k}" for k in range(200)]
+    near = [f"new{k}" if k in (30, 90, 150) else w for k, w in enumerate(words)]  # 15 of 196 shingles differ
+    far = [f"new{k}" if k % 9 == 0 else w for k, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(reversed(words)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id for x in near_dedup(df).collect()} == {1, 3, 4}
+
+
 def test_near_dedup_edges(spark):
     got = [x.doc_id for x in near_dedup(docs(spark)).collect()]
     assert sorted(i for i in got if i is not None) == sorted(set(i for i in got if i is not None)) and got.count(None) == 2

@@ -181,13 +181,48 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(named, "fp", "left").select("id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
+    """``(id, shingles)`` of ``docs(id, text)``: the different hashes of a text's word shingles."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for text in batch.column(1):
+                words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                own = {xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))} if words else set()
+                sets.append(np.fromiter(own, np.uint64, len(own)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    return docs.mapInArrow(of, f"id {docs.schema['id'].dataType.simpleString()}, shingles array<long>")
+
+
+def similar_to(docs: DataFrame, pairs: DataFrame, width: int = 5, at_least: float = 0.8) -> DataFrame:
+    """Those ``id`` of ``pairs(id, rep)`` whose texts in ``docs(id, text)`` share ``at_least`` of all shingles of both, counted exactly."""
+    wanted = pairs.select("id").union(pairs.select("rep")).distinct()
+    sets = materialize(shingle_sets(docs.join(wanted, "id", "left_semi"), width), "shingles")
+    both = pairs.join(sets.withColumnRenamed("shingles", "a"), "id").join(sets.select(F.col("id").alias("rep"), F.col("shingles").alias("b")), "rep")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.filter((shared > 0) & (shared >= at_least * (F.size("a") + F.size("b") - shared))).select("id").distinct()
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8, **how) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id.
 
-    Rows with a null id stay. Of rows that repeat an id one stays.
+    Among those, fingerprints of single words then group texts that differ by a
+    few words, which move more bits of shingle fingerprints; a document goes if
+    it shares ``similarity`` of its five-word shingles with the smallest id of
+    its group. None leaves that out. Rows with a null id stay. Of rows that
+    repeat an id one stays.
     """
     found = materialize(simhash_components(docs, id_col, text_col, **how), "components")
-    keep = found.filter("id = component_id").groupBy("id").count()
+    keep = materialize(found.filter("id = component_id").groupBy("id").count(), "kept")
+    if similarity is not None:
+        near = simhash_components(docs, id_col, text_col, width=1).select("id", "component_id").join(keep.select("id"), "id", "left_semi").distinct()
+        near = materialize(near, "near")
+        reps = near.groupBy("component_id").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("component_id", "rep")
+        pairs = materialize(near.join(reps, "component_id").filter("id <> rep").select("id", "rep"), "pairs")
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+        keep = keep.join(similar_to(texts, pairs, at_least=similarity), "id", "left_anti")
     repeated = keep.filter("count > 1").select("id")
     kept = docs.join(keep.select(F.col("id").alias("__keep")), F.col(id_col) == F.col("__keep"), "left_semi")
     if not repeated.isEmpty():
