@@ -16,6 +16,8 @@ from velum.llm.graph import connected_components, local_components
 
 SEED = 42
 BITS = 64
+#: Ids up to which a table of ids, 8 bytes each, is broadcast.
+SMALL = 1_000_000
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -198,7 +200,8 @@ def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
 
 def similar_to(docs: DataFrame, pairs: DataFrame, width: int = 5, at_least: float = 0.8) -> DataFrame:
     """Those ``id`` of ``pairs(id, rep)`` whose texts in ``docs(id, text)`` share ``at_least`` of all shingles of both, counted exactly."""
-    wanted = pairs.select("id").union(pairs.select("rep")).distinct()
+    wanted = materialize(pairs.select("id").union(pairs.select("rep")).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= SMALL else wanted  # else the texts are shuffled to meet their ids
     sets = materialize(shingle_sets(docs.join(wanted, "id", "left_semi"), width), "shingles")
     both = pairs.join(sets.withColumnRenamed("shingles", "a"), "id").join(sets.select(F.col("id").alias("rep"), F.col("shingles").alias("b")), "rep")
     shared = F.size(F.array_intersect("a", "b"))
