@@ -1,6 +1,5 @@
 import corpus_pipeline
 from tests.llm.fixtures import SCHEMA, docs, prose
-from velum.llm.common import shared_dir
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -13,8 +12,8 @@ def test_stages_take_effect(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_dedup", "decontaminate", "mix_sources", "shard"]
     now, seen = spark.read.parquet(f"{where}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES:
-        stage(spark, now, where).write.parquet(f"{shared_dir(spark)}/test-{tmp_path.name}-{name}")
-        now = spark.read.parquet(f"{shared_dir(spark)}/test-{tmp_path.name}-{name}")
+        stage(spark, now, where).write.parquet(f"{where}/{name}")
+        now = spark.read.parquet(f"{where}/{name}")
         seen[name] = [x.doc_id for x in now.collect()]
         assert now.columns == columns or name == "shard"
     assert {0, 1, 2, 3}.isdisjoint(seen["language_id"]) and {8, 9, *range(100, 140)} <= set(seen["language_id"])
