@@ -225,9 +225,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         reps = near.groupBy("component_id").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("component_id", "rep")
         pairs = materialize(near.join(reps, "component_id").filter("id <> rep").select("id", "rep"), "pairs")
         texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        keep = keep.join(similar_to(texts, pairs, at_least=similarity), "id", "left_anti")
+        keep = materialize(keep.join(similar_to(texts, pairs, at_least=similarity), "id", "left_anti"), "kept")
     repeated = keep.filter("count > 1").select("id")
-    kept = docs.join(keep.select(F.col("id").alias("__keep")), F.col(id_col) == F.col("__keep"), "left_semi")
+    ids = keep.select(F.col("id").alias("__keep"))
+    ids = F.broadcast(ids) if keep.count() <= SMALL else ids  # else the texts are shuffled to meet their ids
+    kept = docs.join(ids, F.col(id_col) == F.col("__keep"), "left_semi")
     if not repeated.isEmpty():
         again = repeated.select(F.col("id").alias("__again"))
         kept = kept.join(again, F.col(id_col) == F.col("__again"), "left_anti").unionByName(kept.join(again, F.col(id_col) == F.col("__again"), "left_semi").dropDuplicates([id_col]))
