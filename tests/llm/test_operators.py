@@ -19,7 +19,7 @@ from velum.llm.mixing import apply_mix, mix, targets
 from velum.llm.pii import BASE, estimate_reliabilities, find_pii
 from velum.llm.secrets import Scanner, with_secrets
 from velum.llm.sharding import lookup_table, shard_names, with_shards
-from velum.llm.simhash import fingerprint, near_dedup, simhash_components
+from velum.llm.simhash import fingerprint, near_dedup, similar_to, simhash_components
 from velum.llm.tokens import BytePairs, with_token_counts
 from velum.llm.topk import top_k
 
@@ -177,6 +177,28 @@ def test_near_dedup_counts_shingles(spark):
     assert {x.doc_id for x in near_dedup(df).collect()} == {1, 3, 4}
 
 
+def test_similar_to_brute(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(40)}" for _ in range(300)]
+    texts = {0: " ".join(base), 90: None, 91: "", 92: "a b", 93: "A  b"}
+    for k in range(1, 40):
+        words = list(base)
+        for _ in range(k):
+            words[rng.randrange(300)] = f"x{rng.randrange(99)}"
+        texts[k] = " ".join(words)
+    pairs = [(k, 0) for k in range(1, 40)] + [(90, 91), (93, 92), (92, 0)]
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    wanted = {a for a, b in pairs if (x := shingles(texts[a])) & (y := shingles(texts[b])) and len(x & y) >= 0.8 * len(x | y)}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    for buckets in (1, 256):
+        assert {x.id for x in similar_to(df, spark.createDataFrame(pairs, "id long, rep long"), buckets=buckets).collect()} == wanted
+    assert 2 < len(wanted) < 30
+
+
 def test_near_dedup_edges(spark):
     got = [x.doc_id for x in near_dedup(docs(spark)).collect()]
     assert sorted(i for i in got if i is not None) == sorted(set(i for i in got if i is not None)) and got.count(None) == 2

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.llm.common import materialize, table
@@ -183,8 +183,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(named, "fp", "left").select("id", "fp", "component_id")
 
 
-def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``(id, shingles)`` of ``docs(id, text)``: the different hashes of a text's word shingles."""
+def shingle_sets(docs: DataFrame, width: int = 5, buckets: int | None = None) -> DataFrame:
+    """``(id, shingles)`` of ``docs(id, text)``: the different hashes of a text's word shingles.
+
+    With ``buckets`` it is ``(id, counts)``: how many of the hashes are in each
+    of so many buckets, by remainder.
+    """
+    name, item, to = ("shingles", "long", pa.int64()) if buckets is None else ("counts", "int", pa.int32())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,20 +197,36 @@ def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
             for text in batch.column(1):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
                 own = {xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))} if words else set()
-                sets.append(np.fromiter(own, np.uint64, len(own)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+                hashes = np.fromiter(own, np.uint64, len(own))
+                sets.append(hashes.view(np.int64) if buckets is None else np.bincount((hashes % np.uint64(buckets)).astype(np.int64), minlength=buckets).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(to))], names=["id", name])
+
+    return docs.mapInArrow(of, f"id {docs.schema['id'].dataType.simpleString()}, {name} array<{item}>")
+
+
+def similar_to(docs: DataFrame, pairs: DataFrame, width: int = 5, at_least: float = 0.8, buckets: int = 256) -> DataFrame:
+    """Those ``id`` of ``pairs(id, rep)`` whose texts in ``docs(id, text)`` share ``at_least`` of all shingles of both, counted exactly.
+
+    Two texts share no more than the smaller of their counts in each bucket of
+    hashes. Pairs that this bound rules out go first, so that only the shingles
+    of the rest, most of which are similar, are shuffled.
+    """
+
+    def met(among: DataFrame, buckets: int | None) -> DataFrame:
+        ids = materialize(among.select("id").union(among.select("rep")).distinct(), "wanted")
+        ids = F.broadcast(ids) if ids.count() <= SMALL else ids  # else the texts are shuffled to meet their ids
+        found = materialize(shingle_sets(docs.join(ids, "id", "left_semi"), width, buckets).toDF("id", "a"), "shingles")
+        return among.join(found, "id").join(found.select(F.col("id").alias("rep"), F.col("a").alias("b")), "rep")
 
-    return docs.mapInArrow(of, f"id {docs.schema['id'].dataType.simpleString()}, shingles array<long>")
+    def enough(shared: Column, total: Column) -> Column:
+        return (shared > 0) & (shared >= at_least * (total - shared))
 
+    def add(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0).cast("long"), lambda x, y: x + y)
 
-def similar_to(docs: DataFrame, pairs: DataFrame, width: int = 5, at_least: float = 0.8) -> DataFrame:
-    """Those ``id`` of ``pairs(id, rep)`` whose texts in ``docs(id, text)`` share ``at_least`` of all shingles of both, counted exactly."""
-    wanted = materialize(pairs.select("id").union(pairs.select("rep")).distinct(), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= SMALL else wanted  # else the texts are shuffled to meet their ids
-    sets = materialize(shingle_sets(docs.join(wanted, "id", "left_semi"), width), "shingles")
-    both = pairs.join(sets.withColumnRenamed("shingles", "a"), "id").join(sets.select(F.col("id").alias("rep"), F.col("shingles").alias("b")), "rep")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.filter((shared > 0) & (shared >= at_least * (F.size("a") + F.size("b") - shared))).select("id").distinct()
+    bound = met(pairs, buckets).select("id", "rep", add(F.zip_with("a", "b", lambda x, y: F.least(x, y))).alias("most"), (add(F.col("a")) + add(F.col("b"))).alias("total"))
+    likely = materialize(bound.filter(enough(F.col("most"), F.col("total"))).select("id", "rep"), "likely")
+    return met(likely, None).filter(enough(F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b"))).select("id").distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8, **how) -> DataFrame:
