@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from velum.functions import columns as fn
+from velum.functions import richtext
 from velum.operators import bloom, graph, merge
 from velum.operators.schema import Field, Schema, SchemaRegistry, normalize, validate
 from velum.plans.catalog import col, lit, query
@@ -292,24 +291,48 @@ def plaintext_to_tree(t):
     return t.conversations.select("conv_id", "turn", F.to_json(F.struct(F.struct(F.array(paragraph).alias("children")).alias("root"))).alias("tree"))
 
 
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Nodes of each tree in depth-first order."""
-    for batch in batches:
-        rows = []
-        for id_, tree in zip(batch["id"], batch["tree"]):
-            open_ = [(json.loads(tree)["root"], 0, "")]
-            while open_:
-                node, depth, path = open_.pop()
-                rows.append((id_, depth, path, node.get("tag"), node.get("text")))
-                children = node.get("children", [])
-                open_ += [(c, depth + 1, f"{path}/{k}") for k, c in reversed(list(enumerate(children)))]
-        yield pd.DataFrame(rows, columns=["id", "depth", "path", "tag", "text"])
+def _tree(*elements: tuple[str, Column]) -> Column:
+    """A tree of elements, each of a tag and a text."""
+    nodes = [F.struct(lit(tag).alias("tag"), F.array(F.struct(F.coalesce(text, lit("")).alias("text"))).alias("children")) for tag, text in elements]
+    return F.to_json(F.struct(F.struct(F.array(*nodes).alias("children")).alias("root")))
 
 
-@query()
+def _titled(t):
+    return t.conversations.select("conv_id", "turn", "role", "text", _tree(("h1", col("role")), ("p", col("text"))).alias("tree"))
+
+
+_TURNS = "(SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)"
+
+
+@query(
+    f"""SELECT concat_ws('-', conv_id, turn) AS id, n.depth, n.path, n.tag, n.text, n.offset FROM (SELECT *, unnest([
+    {{'depth': 0, 'path': '', 'tag': NULL, 'text': NULL, 'offset': 0}}, {{'depth': 1, 'path': '/0', 'tag': 'h1', 'text': NULL, 'offset': 0}}, {{'depth': 2, 'path': '/0/0', 'tag': NULL, 'text': role, 'offset': 0}},
+    {{'depth': 1, 'path': '/1', 'tag': 'p', 'text': NULL, 'offset': length(role)}}, {{'depth': 2, 'path': '/1/0', 'tag': NULL, 'text': text, 'offset': length(role)}}]) AS n FROM {_TURNS})"""
+)
 def tree_dfs(t):
-    c = plaintext_to_tree(t).select(F.concat_ws("-", "conv_id", "turn").alias("id"), "tree")
-    return c.mapInPandas(_walk, "id string, depth int, path string, tag string, text string")
+    return _titled(t).select(F.concat_ws("-", "conv_id", "turn").alias("id"), "tree").mapInPandas(richtext.find_nodes, "id string, depth int, path string, tag string, text string, offset long")
+
+
+@query(f"SELECT conv_id, turn, role || chr(10) || text AS plain FROM {_TURNS}")
+def tree_to_plaintext(t):
+    return _titled(t).select("conv_id", "turn", richtext.plain_text("tree").alias("plain"))
+
+
+@query(f"SELECT conv_id, turn, chr(10) || '# ' || chr(10) || role || chr(10) || chr(10) || text AS markdown FROM {_TURNS}")
+def tree_to_markdown(t):
+    return _titled(t).select("conv_id", "turn", richtext.markdown("tree").alias("markdown"))
+
+
+@query(f"SELECT conv_id, turn, TRUE AS same FROM {_TURNS}")
+def tree_flatten_rebuild(t):
+    return _titled(t).select("conv_id", "turn", (richtext.normal("tree") == col("tree")).alias("same"))
+
+
+@query(f"SELECT conv_id, turn, role || chr(10) || text || ' (seen)' AS merged FROM {_TURNS}")
+def merge_richtext(t):
+    """One side puts a title before the paragraph, the other adds to its end."""
+    base, local = _tree(("p", col("text"))), _tree(("p", F.concat(F.coalesce("text", lit("")), lit(" (seen)"))))
+    return _titled(t).select("conv_id", "turn", richtext.plain_text(richtext.merge_richtext(base, col("tree"), local)).alias("merged"))
 
 
 @query("SELECT user_id AS key, CAST(count(*) FILTER (ts > TIMESTAMP '2024-01-25') AS BIGINT) AS live FROM events GROUP BY 1")
