@@ -19,7 +19,7 @@ from velum.llm.mixing import apply_mix, mix, targets
 from velum.llm.pii import BASE, estimate_reliabilities, find_pii
 from velum.llm.secrets import Scanner, with_secrets
 from velum.llm.sharding import lookup_table, shard_names, with_shards
-from velum.llm.simhash import fingerprint, near_dedup, similar_to, simhash_components
+from velum.llm.simhash import fingerprint, likely_pairs, link_fingerprints, near_dedup, similar_to, simhash_components, word_fingerprints
 from velum.llm.tokens import BytePairs, with_token_counts
 from velum.llm.topk import top_k
 
@@ -168,6 +168,45 @@ def test_components_equal_brute_force(spark):
     assert kept == set(want) | {None}
 
 
+def test_nearest_links_equal_brute_force(spark):
+    r = random.Random(9)
+    fps = {r.getrandbits(64) - (1 << 63) for _ in range(30)} | {0, -1, 1}
+    for f in sorted(fps):
+        for _ in range(20):
+            g = f ^ sum({1 << r.randrange(63) for _ in range(r.randint(1, 5))})
+            fps.add(g)
+    far = {(a, b): ((a ^ b) % (1 << 64)).bit_count() for a in fps for b in fps if b < a}
+    want = {}
+    for (a, b), d in far.items():
+        if d <= 3:
+            want[a] = min(want.get(a, (d, b)), (d, b))
+    df = spark.createDataFrame([(f,) for f in fps], "fp long").repartition(4)
+    for tile in (2048, 2):
+        assert {x.u: x.v for x in link_fingerprints(df, tile=tile, nearest=True).collect()} == {a: b for a, (_, b) in want.items()}
+
+
+def test_word_fingerprints_are_those_of_single_words():
+    for t in TEXTS[:8] + TEXTS[9:]:
+        assert word_fingerprints(t, [42])[0] == fingerprint(t, width=1)
+        assert len(word_fingerprints(t, [42, 43])) == 2
+
+
+def test_near_dedup_finds_copies_of_others_than_the_smallest(spark):
+    # each group's texts differ from the next group's by few words, from far ones by many
+    rows, words = [], prose("en", 400, 77).split()
+    r = random.Random(4)
+    for g in range(12):
+        for k in r.sample(range(400), 24):
+            words[k] = f"g{g}w{k}"
+        for c in range(6):
+            own = list(words)
+            own[r.randrange(400)] = f"copy{c}"
+            rows.append((len(rows), " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert likely_pairs(df.withColumnRenamed("doc_id", "id"), df.select(F.col("doc_id").alias("id"))).count() <= 3 * len(rows)
+    assert [x.doc_id for x in near_dedup(df).orderBy("doc_id").collect()] == list(range(0, 72, 6))
+
+
 def test_near_dedup_counts_shingles(spark):
     words = [f"word{k}" for k in range(200)]
     near = [f"new{k}" if k in (30, 90, 150) else w for k, w in enumerate(words)]  # 15 of 196 shingles differ

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -54,6 +55,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(of, f"id {kind}, fp long")
 
 
+def word_fingerprints(text: str | None, seeds: Sequence[int]) -> list[int]:
+    """The signed 64-bit SimHash of a text's words for each seed; 0 if it has none."""
+    counts = Counter((text or "").encode("utf-8", "surrogatepass").lower().split())
+    words, weights = list(counts), np.fromiter(counts.values(), np.float64, len(counts))
+    found = []
+    for seed in seeds:
+        ones = np.zeros(BITS)
+        for i in range(0, len(words), 1 << 14):
+            part = words[i : i + (1 << 14)]
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in part), "<u8", len(part))
+            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += weights[i : i + (1 << 14)] @ bits.astype(np.float64)
+        found.append(int(np.packbits(2 * ones > weights.sum(), bitorder="little").view("<i8")[0]))
+    return found
+
+
 def ball(bits: int, radius: int) -> list[int]:
     """All masks of at most ``radius`` of ``bits`` bits, 0 first."""
     return [sum(1 << j for j in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
@@ -94,8 +111,35 @@ def _links(rows: tuple[np.ndarray, ...], radius: int, pairs: int = 1 << 22) -> t
     return known[u], known[label[u]]
 
 
-def _verify(radius: int, rows_at_once: int = 1 << 18):
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+def _nearest(rows: tuple[np.ndarray, ...], radius: int, pairs: int = 1 << 22) -> tuple[np.ndarray, ...]:
+    """(fingerprint, the nearest smaller one, distance) within whole buckets; the smallest of equally near ones."""
+    key, tile, fp, role = rows
+    group = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
+    index, probe = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
+    held = np.bincount(group[index], minlength=group[-1] + 1)
+    first = np.r_[0, np.cumsum(held)[:-1]]
+    probe = probe[held[group[probe]] > 0]
+    n = held[group[probe]]
+    ends = np.cumsum(n)
+    signed = fp.view(np.int64)  # the order of the column
+    found, at = [], 0
+    while at < len(probe):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + pairs, "right")))
+        m = n[at:to]
+        left = np.repeat(probe[at:to], m)
+        right = index[np.repeat(first[group[probe[at:to]]], m) + np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)]
+        far = np.bitwise_count(fp[left] ^ fp[right])
+        near = np.flatnonzero((far <= radius) & (signed[right] < signed[left]))
+        u, v, d = signed[left[near]], signed[right[near]], far[near]
+        order = np.lexsort((v, d, u))
+        order = order[np.r_[True, u[order][1:] != u[order][:-1]]] if len(order) else order
+        found.append((u[order], v[order], d[order].astype(np.int32)))
+        at = to
+    return tuple(map(np.concatenate, zip(*found))) if found else (signed[:0], signed[:0], np.zeros(0, np.int32))
+
+
+def _verify(radius: int, nearest: bool = False, rows_at_once: int = 1 << 18):
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())] + [("d", pa.int32())] * nearest)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -113,8 +157,8 @@ def _verify(radius: int, rows_at_once: int = 1 << 18):
             return rows
 
         def out(rows):
-            u, v = _links(rows, radius)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], schema=schema)
+            u, v, *d = (_nearest if nearest else _links)(rows, radius)
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), *map(pa.array, d)], schema=schema)
 
         for batch in batches:
             if batch.num_rows:
@@ -128,7 +172,7 @@ def _verify(radius: int, rows_at_once: int = 1 << 18):
     return of
 
 
-def link_fingerprints(classes: DataFrame, radius: int = 3, segments: int = 2, tile: int = 2048) -> DataFrame:
+def link_fingerprints(classes: DataFrame, radius: int = 3, segments: int = 2, tile: int = 2048, nearest: bool = False) -> DataFrame:
     """``(u, v)`` edges that join the distinct fingerprints ``classes(fp)`` within ``radius`` bits.
 
     Two fingerprints at most ``radius`` bits apart have a segment at most
@@ -137,7 +181,8 @@ def link_fingerprints(classes: DataFrame, radius: int = 3, segments: int = 2, ti
     them; what meets under a value is verified on all 64 bits. A task emits a
     spanning forest of the links it has verified, never the pairs. Values under
     which more than ``tile`` fingerprints are stored are dealt out in a grid of
-    tiles, so that no task holds such a bucket.
+    tiles, so that no task holds such a bucket. With ``nearest`` there is one
+    edge from each fingerprint to the nearest smaller one, if any is that near.
     """
     width = BITS // segments
     masks = ball(width, radius // segments)
@@ -161,7 +206,11 @@ def link_fingerprints(classes: DataFrame, radius: int = 3, segments: int = 2, ti
             )
         )
         rows = rows.select("key", "fp", F.explode(spread).alias("t")).select("key", "t.tile", "fp", "t.role")
-    return rows.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_verify(radius), "u long, v long")
+    rows = rows.repartition("key", "tile").sortWithinPartitions("key", "tile")
+    if not nearest:
+        return rows.mapInArrow(_verify(radius), "u long, v long")
+    found = rows.mapInArrow(_verify(radius, True), "u long, v long, d int")
+    return found.groupBy("u").agg(F.min(F.struct("d", "v")).alias("n")).select("u", "n.v")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, segments: int = 2, tile: int = 2048) -> DataFrame:
@@ -204,8 +253,35 @@ def shingle_sets(docs: DataFrame, width: int = 5, buckets: int | None = None) ->
     return docs.mapInArrow(of, f"id {docs.schema['id'].dataType.simpleString()}, {name} array<{item}>")
 
 
+def likely_pairs(docs: DataFrame, ids: DataFrame, seeds: Sequence[int] = (SEED, SEED + 1, SEED + 2), radius: int = 3) -> DataFrame:
+    """Pairs ``(id, rep)`` of ``docs(id, text)`` among ``ids(id)`` whose word fingerprints are alike.
+
+    For each seed a text is paired with the smallest id that has its
+    fingerprint, and that one with the nearest smaller fingerprint within
+    ``radius`` bits. So there are at most as many pairs as texts for each seed.
+    """
+    seeds = list(seeds)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [word_fingerprints(t.as_py(), seeds) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "fps"])
+
+    fps = docs.select("id", "text").mapInArrow(of, f"id {docs.schema['id'].dataType.simpleString()}, fps array<long>")
+    fps = materialize(fps.join(ids, "id", "left_semi"), "word_fingerprints")
+    pairs = None
+    for i in range(len(seeds)):
+        own = fps.select("id", F.col("fps")[i].alias("fp"))
+        classes = materialize(own.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
+        links = materialize(link_fingerprints(classes.select("fp"), radius, nearest=True), "links")
+        near = links.join(classes.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(classes.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v").select("a", "b")
+        same = own.join(classes, "fp").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        pairs = near.union(same) if pairs is None else pairs.union(near).union(same)
+    return pairs.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("rep")).distinct()
+
+
 def similar_to(docs: DataFrame, pairs: DataFrame, width: int = 5, at_least: float = 0.8, buckets: int = 256) -> DataFrame:
-    """Those ``id`` of ``pairs(id, rep)`` whose texts in ``docs(id, text)`` share ``at_least`` of all shingles of both, counted exactly.
+    """Those of ``pairs(id, rep)`` whose texts in ``docs(id, text)`` share ``at_least`` of all shingles of both, counted exactly.
 
     Two texts share no more than the smaller of their counts in each bucket of
     hashes. Pairs that this bound rules out go first, so that only the shingles
@@ -226,27 +302,26 @@ def similar_to(docs: DataFrame, pairs: DataFrame, width: int = 5, at_least: floa
 
     bound = met(pairs, buckets).select("id", "rep", add(F.zip_with("a", "b", lambda x, y: F.least(x, y))).alias("most"), (add(F.col("a")) + add(F.col("b"))).alias("total"))
     likely = materialize(bound.filter(enough(F.col("most"), F.col("total"))).select("id", "rep"), "likely")
-    return met(likely, None).filter(enough(F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b"))).select("id").distinct()
+    return met(likely, None).filter(enough(F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b"))).select("id", "rep")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8, **how) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id.
 
-    Among those, fingerprints of single words then group texts that differ by a
-    few words, which move more bits of shingle fingerprints; a document goes if
-    it shares ``similarity`` of its five-word shingles with the smallest id of
-    its group. None leaves that out. Rows with a null id stay. Of rows that
-    repeat an id one stays.
+    Among those, fingerprints of single words for several seeds then pair texts
+    that differ by a few words, which move more bits of shingle fingerprints;
+    pairs that share ``similarity`` of their five-word shingles are links, and
+    again the smallest id of each component stays. None leaves that out. Rows
+    with a null id stay. Of rows that repeat an id one stays.
     """
     found = materialize(simhash_components(docs, id_col, text_col, **how), "components")
     keep = materialize(found.filter("id = component_id").groupBy("id").count(), "kept")
     if similarity is not None:
-        near = simhash_components(docs, id_col, text_col, width=1).select("id", "component_id").join(keep.select("id"), "id", "left_semi").distinct()
-        near = materialize(near, "near")
-        reps = near.groupBy("component_id").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("component_id", "rep")
-        pairs = materialize(near.join(reps, "component_id").filter("id <> rep").select("id", "rep"), "pairs")
         texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        keep = materialize(keep.join(similar_to(texts, pairs, at_least=similarity), "id", "left_anti"), "kept")
+        pairs = materialize(likely_pairs(texts, keep.select("id")), "pairs")
+        edges = similar_to(texts, pairs, at_least=similarity).select(F.col("id").alias("u"), F.col("rep").alias("v"))
+        gone = connected_components(edges).filter("node <> component").select(F.col("node").alias("id"))
+        keep = materialize(keep.join(gone, "id", "left_anti"), "kept")
     repeated = keep.filter("count > 1").select("id")
     ids = keep.select(F.col("id").alias("__keep"))
     ids = F.broadcast(ids) if keep.count() <= SMALL else ids  # else the texts are shuffled to meet their ids
