@@ -216,6 +216,18 @@ def test_near_dedup_counts_shingles(spark):
     assert {x.doc_id for x in near_dedup(df).collect()} == {1, 3, 4}
 
 
+def test_near_dedup_tries_all_within_the_radius(spark):
+    # all have the same words, so the same word fingerprints; only the last two are alike
+    words = [f"word{k}" for k in range(200)]
+    rows = [(k, " ".join(random.Random(k).sample(words, 200))) for k in range(30)]
+    swapped = list(words)
+    for k in (30, 90, 150):
+        swapped[k], swapped[k + 1] = swapped[k + 1], swapped[k]  # 18 of 196 shingles differ
+    rows += [(30, " ".join(words)), (31, " ".join(swapped))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(x.doc_id for x in near_dedup(df).collect()) == list(range(31))
+
+
 def test_similar_to_brute(spark):
     rng = random.Random(3)
     base = [f"w{rng.randrange(40)}" for _ in range(300)]

@@ -138,8 +138,38 @@ def _nearest(rows: tuple[np.ndarray, ...], radius: int, pairs: int = 1 << 22) ->
     return tuple(map(np.concatenate, zip(*found))) if found else (signed[:0], signed[:0], np.zeros(0, np.int32))
 
 
-def _verify(radius: int, nearest: bool = False, rows_at_once: int = 1 << 18):
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())] + [("d", pa.int32())] * nearest)
+def _others(rows: tuple[np.ndarray, ...], radius: int, most: int, pairs: int = 1 << 22) -> tuple[np.ndarray, ...]:
+    """(number, a smaller number of another component, distance) within whole buckets: for each number the ``most`` first by distance and number."""
+    key, tile, fp, role, number, component = rows
+    group = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
+    index, probe = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
+    held = np.bincount(group[index], minlength=group[-1] + 1)
+    first = np.r_[0, np.cumsum(held)[:-1]]
+    probe = probe[held[group[probe]] > 0]
+    n = held[group[probe]]
+    ends = np.cumsum(n)
+    found, at = [], 0
+    while at < len(probe):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + pairs, "right")))
+        m = n[at:to]
+        left = np.repeat(probe[at:to], m)
+        right = index[np.repeat(first[group[probe[at:to]]], m) + np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)]
+        far = np.bitwise_count(fp[left] ^ fp[right])
+        near = np.flatnonzero((far <= radius) & (number[right] < number[left]) & (component[right] != component[left]))
+        u, v, d = number[left[near]], number[right[near]], far[near]
+        order = np.lexsort((v, d, u))
+        u, v, d = u[order], v[order], d[order]
+        new = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])][: len(u)]
+        u, v, d = u[new], v[new], d[new]
+        start = np.flatnonzero(np.r_[True, u[1:] != u[:-1]][: len(u)])
+        kept = np.arange(len(u)) - np.repeat(start, np.diff(np.r_[start, len(u)])) < most
+        found.append((u[kept], v[kept], d[kept].astype(np.int32)))
+        at = to
+    return tuple(map(np.concatenate, zip(*found))) if found else (number[:0], number[:0], np.zeros(0, np.int32))
+
+
+def _verify(radius: int, nearest: bool = False, most: int = 0, rows_at_once: int = 1 << 18):
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())] + [("d", pa.int32())] * (nearest or most > 0))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -157,13 +187,13 @@ def _verify(radius: int, nearest: bool = False, rows_at_once: int = 1 << 18):
             return rows
 
         def out(rows):
-            u, v, *d = (_nearest if nearest else _links)(rows, radius)
+            u, v, *d = _others(rows, radius, most) if most else (_nearest if nearest else _links)(rows, radius)
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), *map(pa.array, d)], schema=schema)
 
         for batch in batches:
             if batch.num_rows:
-                key, at, fp, role = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-                held.append((key, at, fp.view(np.uint64), role))
+                key, at, fp, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                held.append((key, at, fp.view(np.uint64), *rest))
                 if sum(len(h[0]) for h in held) >= rows_at_once and len((rows := taken(False))[0]):
                     yield out(rows)
         if held and len((rows := taken(True))[0]):
@@ -172,47 +202,73 @@ def _verify(radius: int, nearest: bool = False, rows_at_once: int = 1 << 18):
     return of
 
 
-def link_fingerprints(classes: DataFrame, radius: int = 3, segments: int = 2, tile: int = 2048, nearest: bool = False) -> DataFrame:
-    """``(u, v)`` edges that join the distinct fingerprints ``classes(fp)`` within ``radius`` bits.
+def _dealt(classes: DataFrame, radius: int, segments: int, tile: int) -> DataFrame:
+    """``(key, tile, fp, role)`` and further columns of ``classes(fp)``, with all that may be within ``radius`` bits in one bucket of key and tile.
 
-    Two fingerprints at most ``radius`` bits apart have a segment at most
-    ``radius // segments`` bits apart. Each fingerprint is stored under its
-    segments and asks for every value in the small Hamming ball round each of
-    them; what meets under a value is verified on all 64 bits. A task emits a
-    spanning forest of the links it has verified, never the pairs. Values under
-    which more than ``tile`` fingerprints are stored are dealt out in a grid of
-    tiles, so that no task holds such a bucket. With ``nearest`` there is one
-    edge from each fingerprint to the nearest smaller one, if any is that near.
+    Each row is stored under its segments and, unless its column ``asks`` is
+    false, asks for every value in the ball round each of them. Role 0 is
+    stored only, 1 asks only, 2 is both.
     """
     width = BITS // segments
     masks = ball(width, radius // segments)
     wanted = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(m).cast("long").alias("m")) for s in range(segments) for m in masks])
     low = (1 << width) - 1
-    rows = classes.select("fp", F.explode(wanted).alias("w")).select(
-        (F.expr(f"(shiftrightunsigned(fp, {width} * w.s) & {low}L) ^ w.m") * segments + F.col("w.s")).alias("key"), F.lit(0).alias("tile"), "fp", F.when(F.col("w.m") == 0, 2).otherwise(1).alias("role")
-    )
-    stored = classes.select("fp", F.explode(F.array(*map(F.lit, range(segments)))).alias("s")).select((F.expr(f"shiftrightunsigned(fp, {width} * s) & {low}L") * segments + F.col("s")).alias("key"))
+    asks = F.col("asks") if "asks" in classes.columns else F.lit(True)
+    kind = (F.col("kind") if "kind" in classes.columns else F.lit(0)).cast("long")
+    rest = [c for c in classes.columns if c not in ("fp", "asks", "kind")]
+    role = F.when(F.col("w.m") != 0, 1).when(F.col("asks"), 2).otherwise(0)
+    classes = classes.select("fp", *rest, asks.alias("asks"), kind.alias("kind"))
+    rows = classes.select("fp", *rest, "asks", "kind", F.explode(wanted).alias("w")).filter(F.col("asks") | (F.col("w.m") == 0))
+    rows = rows.select((F.expr(f"(shiftrightunsigned(fp, {width} * w.s) & {low}L) ^ w.m") * segments + F.col("w.s") + F.shiftleft("kind", 40)).alias("key"), F.lit(0).alias("tile"), "fp", role.alias("role"), *rest)
+    stored = classes.select("fp", "kind", F.explode(F.array(*map(F.lit, range(segments)))).alias("s")).select((F.expr(f"shiftrightunsigned(fp, {width} * s) & {low}L") * segments + F.col("s") + F.shiftleft("kind", 40)).alias("key"))
     heavy = materialize(stored.groupBy("key").count().filter(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("blocks")), "heavy")
     n_heavy = heavy.count()
     if n_heavy:
         heavy = F.broadcast(heavy) if n_heavy <= 100_000 else heavy  # 12 bytes a row
         rows = rows.join(heavy, "key", "left")
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        own = F.pmod(F.xxhash64("fp", *rest), F.col("blocks")).cast("int")
         every = F.sequence(F.lit(0), F.col("blocks") - 1)
+        none = F.array().cast("array<struct<tile:int,role:int>>")
         spread = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("tile"), F.col("role").alias("role")))).otherwise(
             F.concat(
-                F.transform(every, lambda i: F.struct((i * F.col("blocks") + own).alias("tile"), F.lit(1).alias("role"))),
-                F.when(F.col("role") == 2, F.transform(every, lambda j: F.struct((own * F.col("blocks") + j).alias("tile"), F.lit(0).alias("role")))).otherwise(F.array().cast("array<struct<tile:int,role:int>>")),
+                F.when(F.col("role") != 0, F.transform(every, lambda i: F.struct((i * F.col("blocks") + own).alias("tile"), F.lit(1).alias("role")))).otherwise(none),
+                F.when(F.col("role") != 1, F.transform(every, lambda j: F.struct((own * F.col("blocks") + j).alias("tile"), F.lit(0).alias("role")))).otherwise(none),
             )
         )
-        rows = rows.select("key", "fp", F.explode(spread).alias("t")).select("key", "t.tile", "fp", "t.role")
-    rows = rows.repartition("key", "tile").sortWithinPartitions("key", "tile")
+        rows = rows.select("key", "fp", *rest, F.explode(spread).alias("t")).select("key", "t.tile", "fp", "t.role", *rest)
+    return rows.repartition("key", "tile").sortWithinPartitions("key", "tile")
+
+
+def link_fingerprints(classes: DataFrame, radius: int = 3, segments: int = 2, tile: int = 2048, nearest: bool = False) -> DataFrame:
+    """``(u, v)`` edges that join the distinct fingerprints ``classes(fp)`` within ``radius`` bits.
+
+    Two fingerprints at most ``radius`` bits apart have a segment at most
+    ``radius // segments`` bits apart. Each fingerprint is stored under its
+    segments and asks for every value in the small Hamming ball round each of
+    them; what meets under a value is verified on all 64 bits. A task emits a
+    spanning forest of the links it has verified, never the pairs. Values under
+    which more than ``tile`` fingerprints are stored are dealt out in a grid of
+    tiles, so that no task holds such a bucket. With ``nearest`` there is one
+    edge from each fingerprint to the nearest smaller one, if any is that near.
+    """
+    rows = _dealt(classes.select("fp"), radius, segments, tile)
     if not nearest:
         return rows.mapInArrow(_verify(radius), "u long, v long")
     found = rows.mapInArrow(_verify(radius, True), "u long, v long, d int")
     return found.groupBy("u").agg(F.min(F.struct("d", "v")).alias("n")).select("u", "n.v")
 
 
+def other_components(rows: DataFrame, most: int, radius: int = 3, segments: int = 2, tile: int = 2048) -> DataFrame:
+    """``(u, near)`` of ``rows(kind, fp, number, component, asks)``: for each number that asks, smaller numbers of other components within ``radius`` bits in any kind.
+
+    They are the ``most`` first by distance and number, so fewer than ``most``
+    are all there are. Equal fingerprints are at distance 0.
+    """
+    met = _dealt(rows.select("kind", "fp", "number", "component", "asks"), radius, segments, tile)
+    found = met.mapInArrow(_verify(radius, most=most), "u long, v long, d int")
+    return found.groupBy("u").agg(F.slice(F.sort_array(F.collect_set(F.struct("d", "v"))), 1, most).alias("n")).select("u", F.col("n.v").alias("near"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, segments: int = 2, tile: int = 2048) -> DataFrame:
     """``(id, fp, component_id)`` of every row of ``docs``.
 
@@ -305,23 +361,83 @@ def similar_to(docs: DataFrame, pairs: DataFrame, width: int = 5, at_least: floa
     return met(likely, None).filter(enough(F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b"))).select("id", "rep")
 
 
+def text_marks(docs: DataFrame, seeds: Sequence[int], width: int | None = None) -> DataFrame:
+    """``(id, digest, fps)`` of ``docs(id, text)``: 128 bits of the text's words, and the word fingerprint of each seed; with ``width`` that of its shingles first."""
+    seeds = list(seeds)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, found = [], []
+            for text in batch.column(1).to_pylist():
+                digests.append(xxhash.xxh3_128_digest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), SEED))
+                found.append(([] if width is None else [fingerprint(text, width)]) + word_fingerprints(text, seeds))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["id", "digest", "fps"])
+
+    return docs.select("id", "text").mapInArrow(of, f"id {docs.schema['id'].dataType.simpleString()}, digest binary, fps array<long>")
+
+
+def similar_leaders(docs: DataFrame, ids: DataFrame | None = None, similarity: float = 0.8, seeds: Sequence[int] = (SEED, SEED + 1, SEED + 2), width: int | None = None, radius: int = 3, segments: int = 2, tile: int = 2048, first: int = 1) -> DataFrame:
+    """``(id)``, the smallest of each component of ``docs(id, text)`` among ``ids(id)``.
+
+    Links are texts of equal words, and pairs within ``radius`` bits by any
+    fingerprint that share ``similarity`` of their five-word shingles, counted
+    exactly. Every pair within the radius is counted, unless links found before
+    join it. A round takes the ``first`` nearest texts of other components for
+    each text, the next eight times as many for those that had that many, until
+    none has, so a group of copies costs few pairs whatever its size.
+    """
+    marks = text_marks(docs, seeds, width)
+    marks = materialize(marks if ids is None else marks.join(ids, "id", "left_semi"), "marks")
+    items = marks.filter("id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("fps").alias("fps"))
+    items = materialize(items.select("rep", "fps"), "items")
+    numbers = materialize(items.select("rep").distinct().withColumn("number", F.monotonically_increasing_id()), "numbers")
+    items = materialize(items.join(numbers, "rep").select("number", "fps"), "items")
+    kinds = len(list(seeds)) + (width is not None)
+    named = lambda pairs: pairs.join(numbers.toDF("id", "u"), "u").join(numbers.toDF("rep", "v"), "v").select("id", "rep")
+    numbered = lambda pairs: pairs.join(numbers.toDF("id", "u"), "id").join(numbers.toDF("rep", "v"), "rep").select("u", "v")
+    asking = tested = edges = components = None
+    most = first
+    while asking is None or not asking.isEmpty():
+        rows = items.select("number", F.posexplode("fps").alias("kind", "fp"))
+        rows = rows.withColumn("component", F.col("number")) if components is None else rows.join(components.toDF("number", "component"), "number", "left").withColumn("component", F.coalesce("component", "number"))
+        if asking is None:  # one kind after the other, as all texts ask
+            near = None
+            for i in range(kinds):
+                own = materialize(other_components(rows.withColumn("asks", F.lit(True)).filter(F.col("kind") == i), most, radius, segments, tile), "near")
+                near = own if near is None else near.union(own)
+        else:
+            rows = rows.join(asking.withColumn("asks", F.lit(True)), F.col("number") == F.col("u"), "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+            near = materialize(other_components(materialize(rows, "asking"), most, radius, segments, tile), "near")
+        asking = near.filter(F.size("near") >= most).select("u").distinct()
+        found = near.select("u", F.explode("near").alias("v"))
+        new = found.distinct() if tested is None else found.distinct().join(tested, ["u", "v"], "left_anti")
+        new = materialize(new, "pairs")
+        tested = new if tested is None else tested.union(new)
+        links = materialize(numbered(similar_to(docs, named(new), at_least=similarity)), "similar")
+        if not links.isEmpty():
+            edges = links if edges is None else edges.union(links)
+            components = materialize(connected_components(edges), "components")
+        most *= 8
+    if components is None:
+        return numbers.select(F.col("rep").alias("id"))
+    of = numbers.join(components.toDF("number", "component"), "number", "left")
+    return of.groupBy(F.coalesce("component", "number")).agg(F.min("rep").alias("id")).select("id")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8, **how) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id.
 
-    Among those, fingerprints of single words for several seeds then pair texts
+    Among those, fingerprints of single words for several seeds then find texts
     that differ by a few words, which move more bits of shingle fingerprints;
-    pairs that share ``similarity`` of their five-word shingles are links, and
-    again the smallest id of each component stays. None leaves that out. Rows
-    with a null id stay. Of rows that repeat an id one stays.
+    all pairs found that share ``similarity`` of their five-word shingles are
+    links, and again the smallest id of each component stays. None leaves that
+    out. Rows with a null id stay. Of rows that repeat an id one stays.
     """
     found = materialize(simhash_components(docs, id_col, text_col, **how), "components")
     keep = materialize(found.filter("id = component_id").groupBy("id").count(), "kept")
     if similarity is not None:
         texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        pairs = materialize(likely_pairs(texts, keep.select("id")), "pairs")
-        edges = similar_to(texts, pairs, at_least=similarity).select(F.col("id").alias("u"), F.col("rep").alias("v"))
-        gone = connected_components(edges).filter("node <> component").select(F.col("node").alias("id"))
-        keep = materialize(keep.join(gone, "id", "left_anti"), "kept")
+        keep = materialize(keep.join(similar_leaders(texts, keep.select("id"), similarity), "id", "left_semi"), "kept")
     repeated = keep.filter("count > 1").select("id")
     ids = keep.select(F.col("id").alias("__keep"))
     ids = F.broadcast(ids) if keep.count() <= SMALL else ids  # else the texts are shuffled to meet their ids
