@@ -228,6 +228,14 @@ def test_near_dedup_tries_all_within_the_radius(spark):
     assert sorted(x.doc_id for x in near_dedup(df).collect()) == list(range(31))
 
 
+def test_near_dedup_keeps_what_only_fingerprints_join(spark):
+    common = "one two three " * 300  # most of the weight of the shingles, but few different ones
+    rows = [(k, common + " ".join(f"own{k}x{j}" for j in range(12))) for k in range(3)] + [(3, None), (4, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.component_id for x in simhash_components(df).collect()} == {0, 3}
+    assert sorted(x.doc_id for x in near_dedup(df).collect()) == [0, 1, 2, 3]
+
+
 def test_similar_to_brute(spark):
     rng = random.Random(3)
     base = [f"w{rng.randrange(40)}" for _ in range(300)]

@@ -376,8 +376,8 @@ def text_marks(docs: DataFrame, seeds: Sequence[int], width: int | None = None)
     return docs.select("id", "text").mapInArrow(of, f"id {docs.schema['id'].dataType.simpleString()}, digest binary, fps array<long>")
 
 
-def similar_leaders(docs: DataFrame, ids: DataFrame | None = None, similarity: float = 0.8, seeds: Sequence[int] = (SEED, SEED + 1, SEED + 2), width: int | None = None, radius: int = 3, segments: int = 2, tile: int = 2048, first: int = 1) -> DataFrame:
-    """``(id)``, the smallest of each component of ``docs(id, text)`` among ``ids(id)``.
+def similar_leaders(docs: DataFrame, similarity: float = 0.8, seeds: Sequence[int] = (SEED, SEED + 1, SEED + 2), width: int | None = None, radius: int = 3, segments: int = 2, tile: int = 2048, first: int = 1) -> DataFrame:
+    """``(id)``, the smallest of each component of ``docs(id, text)``.
 
     Links are texts of equal words, and pairs within ``radius`` bits by any
     fingerprint that share ``similarity`` of their five-word shingles, counted
@@ -386,8 +386,7 @@ def similar_leaders(docs: DataFrame, ids: DataFrame | None = None, similarity: f
     each text, the next eight times as many for those that had that many, until
     none has, so a group of copies costs few pairs whatever its size.
     """
-    marks = text_marks(docs, seeds, width)
-    marks = materialize(marks if ids is None else marks.join(ids, "id", "left_semi"), "marks")
+    marks = materialize(text_marks(docs, seeds, width), "marks")
     items = marks.filter("id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("fps").alias("fps"))
     items = materialize(items.select("rep", "fps"), "items")
     numbers = materialize(items.select("rep").distinct().withColumn("number", F.monotonically_increasing_id()), "numbers")
@@ -427,17 +426,19 @@ def similar_leaders(docs: DataFrame, ids: DataFrame | None = None, similarity: f
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8, **how) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id.
 
-    Among those, fingerprints of single words for several seeds then find texts
-    that differ by a few words, which move more bits of shingle fingerprints;
-    all pairs found that share ``similarity`` of their five-word shingles are
-    links, and again the smallest id of each component stays. None leaves that
-    out. Rows with a null id stay. Of rows that repeat an id one stays.
+    Links are pairs that share ``similarity`` of their five-word shingles,
+    counted exactly, found among SimHash fingerprints and among those of single
+    words for several seeds, which fewer bits move when a few words differ; see
+    ``similar_leaders``. With None they are those of ``simhash_components``,
+    not counted. Rows with a null id stay. Of rows that repeat an id one stays.
     """
-    found = materialize(simhash_components(docs, id_col, text_col, **how), "components")
-    keep = materialize(found.filter("id = component_id").groupBy("id").count(), "kept")
-    if similarity is not None:
+    if similarity is None:
+        found = materialize(simhash_components(docs, id_col, text_col, **how), "components")
+        keep = materialize(found.filter("id = component_id").groupBy("id").count(), "kept")
+    else:
         texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        keep = materialize(keep.join(similar_leaders(texts, keep.select("id"), similarity), "id", "left_semi"), "kept")
+        leaders = similar_leaders(texts, similarity=similarity, **{"width": 3} | how)
+        keep = materialize(texts.groupBy("id").count().join(leaders, "id", "left_semi"), "kept")
     repeated = keep.filter("count > 1").select("id")
     ids = keep.select(F.col("id").alias("__keep"))
     ids = F.broadcast(ids) if keep.count() <= SMALL else ids  # else the texts are shuffled to meet their ids
