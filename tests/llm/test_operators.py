@@ -75,6 +75,18 @@ def test_language_masks_return_all_languages():
     assert ((model.slots[a] & model.slots[b]) == (1 << 20) - 1).all()
 
 
+def test_language_filter_learns_more_than_a_word_of_languages(spark):
+    names = [f"l{k:03}" for k in range(130)]
+    own = [np.arange(50, dtype=np.uint64) + np.uint64(1000 * k) for k in range(130)]
+    model = LanguageFilter.build(names, [h * np.uint64(0x9E3779B97F4A7C15) for h in own], "l000")
+    assert len(model.more) == 2 and len(model.false_rate) == 130
+    words = ["".join(chr(97 + (k * 7 + j * (k // 26 + 1)) % 26) for j in range(9)) for k in range(70)]
+    rows = [(10 * k + j, " ".join([words[k]] * 20), f"l{k:03}") for k in range(70) for j in range(2)]
+    model = train_language_filter(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 70
+    assert [p["lang"] for p in model.predict([" ".join([w] * 3) for w in words])] == model.langs
+
+
 # --- Tokens ------------------------------------------------------------------------------------
 
 

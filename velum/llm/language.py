@@ -66,12 +66,13 @@ def ngrams(texts: list[str], chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray,
 
 @dataclass
 class LanguageFilter:
-    """A mask of languages in every slot; an n-gram's languages are those set in all of its slots."""
+    """A mask of languages in every slot; an n-gram's languages are those set in all of its slots. ``more`` has the masks of languages beyond the first word's."""
 
     langs: list[str]
     slots: np.ndarray
     false_rate: np.ndarray
     default: str
+    more: tuple[np.ndarray, ...] = ()
 
     @staticmethod
     def places(h: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,13 +80,14 @@ class LanguageFilter:
 
     @classmethod
     def build(cls, langs: list[str], members: list[np.ndarray], default: str, slots: int = 1 << 20) -> LanguageFilter:
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(langs) <= 8 * np.dtype(t).itemsize)
-        held = np.zeros(slots, kind)
+        kind = next((t for t in (np.uint8, np.uint16, np.uint32) if len(langs) <= 8 * np.dtype(t).itemsize), np.uint64)
+        bits = 8 * np.dtype(kind).itemsize
+        held = np.zeros((max(1, -(-len(langs) // bits)), slots), kind)
         for k, h in enumerate(members):
             for at in cls.places(h, slots):
-                held[at] |= kind(1 << k)
-        full = np.array([np.mean((held >> kind(k)) & kind(1)) for k in range(len(langs))])
-        return cls(langs, held, full**2, default)
+                held[k // bits, at] |= kind(1 << k % bits)
+        full = np.array([np.mean((held[k // bits] >> kind(k % bits)) & kind(1)) for k in range(len(langs))])
+        return cls(langs, held[0], full**2, default, tuple(held[1:]))
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each text its n-grams, and for each language those that its filter holds."""
@@ -93,15 +95,16 @@ class LanguageFilter:
         held = np.zeros((len(texts), len(self.langs)), np.int64)
         for owner, h in ngrams(texts):
             a, b = self.places(h, len(self.slots))
-            mask = self.slots[a] & self.slots[b]
             n += np.bincount(owner, minlength=len(texts))
             lo, hi = (int(owner.min()), int(owner.max()) + 1) if len(owner) else (0, 0)
-            for byte in range(mask.itemsize):
-                low = ((mask >> mask.dtype.type(8 * byte)) & mask.dtype.type(0xFF)).astype(np.int64)
-                seen = np.bincount((owner - lo) * 256 + low, minlength=(hi - lo) * 256).reshape(hi - lo, 256)
-                for bit in range(8):
-                    if (k := 8 * byte + bit) < len(self.langs):
-                        held[lo:hi, k] += seen[:, (np.arange(256) >> bit) & 1 == 1].sum(axis=1)
+            for word, slots in enumerate((self.slots, *self.more)):
+                mask = slots[a] & slots[b]
+                for byte in range(mask.itemsize):
+                    low = ((mask >> mask.dtype.type(8 * byte)) & mask.dtype.type(0xFF)).astype(np.int64)
+                    seen = np.bincount((owner - lo) * 256 + low, minlength=(hi - lo) * 256).reshape(hi - lo, 256)
+                    for bit in range(8):
+                        if (k := 8 * (word * mask.itemsize + byte) + bit) < len(self.langs):
+                            held[lo:hi, k] += seen[:, (np.arange(256) >> bit) & 1 == 1].sum(axis=1)
         return n, held
 
     def predict(self, texts: list[str | None]) -> list[dict]:
@@ -136,27 +139,28 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train_language_filter(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = 4000, ngrams_per_language: int = 40_000, max_languages: int = 64, least: int = 3, share: float = 0.5, slots: int = 1 << 20
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = 4000, ngrams_per_language: int = 40_000, max_languages: int | None = None, least: int = 3, share: float = 0.5, slots: int = 1 << 20
 ) -> LanguageFilter:
     """Learn from rows that have a text and a language.
 
     The classifier is fitted on a bounded sample: about ``docs_per_language``
-    whole texts of each of the ``max_languages`` most frequent languages, those
-    whose id's hash is lowest. A language's filter gets the n-grams that occur
+    whole texts of each language, or only of the ``max_languages`` most frequent
+    ones, those whose id's hash is lowest. A language's filter gets the n-grams that occur
     at least ``least`` times in it and, in proportion to all of its n-grams, at
     least ``share`` times as often as in any other language: of these the
     ``ngrams_per_language`` most frequent ones.
     """
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    known = (counted if max_languages is None else counted.limit(max_languages)).collect()
     if not known:
         return LanguageFilter([], np.zeros(slots, np.uint8), np.zeros(0), UNKNOWN)
-    keep = F.create_map(*[F.lit(x) for r in known for x in (r["lang"], min(1.0, docs_per_language / r["count"]))])
+    taken = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, docs_per_language / r["count"])) for r in known], "lang string, taken double")
     place = F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.filter(place < F.coalesce(keep[F.col("lang")], F.lit(0.0))).select("lang", "text")
+    sample = rows.join(F.broadcast(taken), "lang").filter(place < F.col("taken")).select("lang", "text")
     counts = materialize(sample.mapInArrow(_counted, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n")), "ngrams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rate = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))  # a row for each of max_languages
+    rate = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))  # a row for each language
     best = rate.groupBy("h").agg(F.max("rate").alias("best"))
     mine = rate.join(best, "h").filter((F.col("n") >= least) & (F.col("rate") >= share * F.col("best")))
     top = mine.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "h"))).filter(F.col("k") <= ngrams_per_language).select("lang", "h").toArrow()
