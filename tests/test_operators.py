@@ -130,3 +130,15 @@ def test_paths_and_strings(spark):
     got = df.select(*[fn.path_part(F.col("p"), k).alias(f"x{k}") for k in (1, 2, 3, 4)], fn.path_repo(F.col("p")).alias("repo"), fn.normalize_email(F.col("m")).alias("mail"), fn.common_prefix(F.col("a"), F.col("b")).alias("n")).collect()
     assert tuple(got[0]) == ("sys", "r", "i", "e", "/sys/r", "a@b.com", 3)
     assert tuple(got[1]) == ("sys", "r", None, None, "/sys/r", None, 0)
+
+
+def test_bloom_queries_size_their_filter_by_the_rows(spark):
+    from types import SimpleNamespace
+
+    from velum.plans import catalog, documents
+
+    for n in (300, 60_000, 150_000):
+        t = SimpleNamespace(events=spark.range(n).withColumnRenamed("id", "event_id"))
+        sent = documents.sync_bloom_round(t)
+        assert sent.filter("id % 3 <> 1").isEmpty() and sent.count() >= 0.9 * n / 3
+        assert 0.3 < catalog.bloom_fill(t).first()[0] < 0.7

@@ -13,6 +13,11 @@ def sizes(n: int, p: float, most: int = 8) -> tuple[int, int]:
     return bits, min(most, max(1, round(bits / max(n, 1) * math.log(2))))
 
 
+def sync_rate(n: int, cycles: int = 3) -> float:
+    """The false-positive rate with which peers of at most ``n`` values meet in about so many rounds."""
+    return min(0.5, max(n, 1) ** (-2 / cycles))
+
+
 def positions(value: Column, bits: int, hashes: int, seed: int = 0) -> Column:
     return F.array(*[F.pmod(F.xxhash64(value.cast("string"), F.lit(seed * 64 + k)), F.lit(bits)) for k in range(hashes)])
 

@@ -362,8 +362,9 @@ def merge_set(t):
 
 @query()
 def bloom_fill(t):
-    bits, hashes = bloom.sizes(10_000, 0.01)
-    return bloom.fill_rate(bloom.fill(t.events.filter("event_id % 3 <> 0"), "event_id", bits, hashes), bits)
+    held = t.events.filter("event_id % 3 <> 0")
+    bits, hashes = bloom.sizes(max(1, held.count()), 0.01)
+    return bloom.fill_rate(bloom.fill(held, "event_id", bits, hashes), bits)
 
 
 @query()

@@ -390,8 +390,10 @@ def change_field_filter(t):
 def sync_bloom_round(t):
     """What peer A sends in one round: its values that B's filter surely lacks."""
     e = t.events.select(col("event_id").alias("id"))
-    bits, hashes = bloom.sizes(10_000, 0.01)
-    return bloom.absent(e.filter("id % 3 <> 0"), "id", bloom.fill(e.filter("id % 3 <> 1"), "id", bits, hashes), bits, hashes)
+    a, b = e.filter("id % 3 <> 0"), e.filter("id % 3 <> 1")
+    n = max(1, a.count(), b.count())
+    bits, hashes = bloom.sizes(n, bloom.sync_rate(n))
+    return bloom.absent(a, "id", bloom.fill(b, "id", bits, hashes), bits, hashes)
 
 
 @query("SELECT event_id AS id, ts FROM events WHERE ts + INTERVAL 7 DAY > TIMESTAMP '2024-01-31'")
