@@ -74,3 +74,32 @@ def test_columns_take_nulls(spark):
     got = df.select(rt.plain_text(merged).alias("x"), rt.markdown("base").alias("m"), rt.normal("side").alias("n")).collect()
     assert [x.x for x in got] == ["a b", "n", "k", None]
     assert [x.m is None for x in got] == [False, True, False, True] and [x.n is None for x in got] == [False, False, True, True]
+
+
+def test_edits_are_fewest_at_any_size():
+    r = random.Random(8)
+    for n, signs in ((900, 3), (900, 400), (40, 2)):
+        a, b = ([r.randrange(signs) for _ in range(n + r.randrange(9))] for _ in range(2))
+        row = [0] * (len(b) + 1)  # longest common subsequence
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
+        found = rt._edits(a, b)
+        assert sum(j - i + n - k for i, j, k, n in found) == len(a) + len(b) - 2 * row[-1]
+        made, at = [], 0
+        for i, j, k, n in found:
+            made += a[at:i] + b[k:n]
+            at = j
+        assert made + a[at:] == b
+
+
+def test_merge_keeps_both_sides_beyond_500_edits():
+    words = [f"word{k}" for k in range(1200)]
+    mine = [f"new{k}" if k % 2 else w for k, w in enumerate(words)]  # 600 scattered words
+    theirs = words[:400] + words[405:]
+    of = lambda x: tree(" ".join(x))
+    merged = rt.to_plain_text(rt.merge_trees(of(words), [of(mine), of(theirs)])).split()
+    assert [w for w in merged if w in words] == [w for k, w in enumerate(words) if not k % 2 and not 400 <= k < 405]
+    assert all(merged.count(f"new{k}") == 1 for k in range(1, 1200, 2) if not 398 <= k < 408)

@@ -19,7 +19,7 @@ from pyspark.sql.types import StringType
 #: What stands before the text of these elements.
 PREFIXES = {"h1": "# ", "h2": "## ", "li": "* ", "ref": "- "}
 
-#: What differs in more than so many words, or a replaced run of words in more than so many characters, is replaced as a whole.
+#: What differs in more than so many places is divided in the middle of a shortest way first, so that memory stays linear.
 DEEP = 500
 
 Atom = tuple[str, str, str]  # open, text or close; tag or character; attributes
@@ -111,6 +111,25 @@ def _words(flat: list[Atom]) -> list[tuple[Atom, ...]]:
     return out
 
 
+def _middle(a: list, b: list) -> tuple[int, int, int, int]:
+    """(x, y, u, v): a shortest way from ``a`` to ``b`` goes through (x, y) and, over equal items, to (u, v) (Myers 1986, linear space)."""
+    n, m = len(a), len(b)
+    odd, size = (n + m) % 2, 2 * min(n, m) + 2
+    ahead, back = [0] * size, [0] * size  # furthest on each diagonal, from the start and from the end
+    for d in range((n + m + 1) // 2 + 1):
+        for own, other, first in ((ahead, back, 1), (back, ahead, 0)):
+            for k in range(-(d - 2 * max(0, d - m)), d - 2 * max(0, d - n) + 1, 2):
+                x = own[(k + 1) % size] if k == -d or (k != d and own[(k - 1) % size] < own[(k + 1) % size]) else own[(k - 1) % size] + 1
+                s, t, y = x, x - k, x - k
+                while x < n and y < m and (a[x] == b[y] if first else a[n - 1 - x] == b[m - 1 - y]):
+                    x, y = x + 1, y + 1
+                own[k % size] = x
+                z = n - m - k
+                if odd == first and first - d <= z <= d - first and x + other[z % size] >= n:
+                    return (s, t, x, y) if first else (n - x, m - y, n - s, m - t)
+    raise AssertionError("two ways over one table meet")
+
+
 def _edits(a: list, b: list) -> list[tuple[int, int, int, int]]:
     """(i, j, k, n): ``a[i:j]`` becomes ``b[k:n]``, with the fewest insertions and deletions (Myers 1986)."""
     furthest, seen = {1: 0}, []
@@ -127,7 +146,16 @@ def _edits(a: list, b: list) -> list[tuple[int, int, int, int]]:
             continue
         break
     else:
-        return [(0, len(a), 0, len(b))]
+        if not a or not b:
+            return [(0, len(a), 0, len(b))]
+        x, y, u, v = _middle(a, b)
+        parts = _edits(a[:x], b[:y])
+        for i, j, k, n in _edits(a[u:], b[v:]):
+            if parts and (i + u, k + v) == (parts[-1][1], parts[-1][3]):
+                parts[-1] = (parts[-1][0], j + u, parts[-1][2], n + v)
+            else:
+                parts.append((i + u, j + u, k + v, n + v))
+        return parts
     out: list[tuple[int, int, int, int]] = []
     x, y = len(a), len(b)
     for d in range(len(seen) - 1, 0, -1):
