@@ -21,6 +21,17 @@ BITS = 64
 SMALL = 1_000_000
 
 
+#: The bits of each byte, lowest first, and where the counts of each of 8 bytes begin.
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+_PLACE = 256 * np.arange(8)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit: each byte's values are counted first."""
+    values = np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8) + _PLACE
+    return (np.bincount(values.ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS).astype(np.int64).ravel()
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """The signed 64-bit SimHash of a text's word shingles; 0 if it has no words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -36,9 +47,8 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         digest = xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends)), np.uint64, len(ends))
     ones = np.zeros(BITS, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        part = np.ascontiguousarray(hashes[i : i + (1 << 16)], "<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        ones += _ones(hashes[i : i + (1 << 14)])
     bits = np.packbits(2 * ones > len(hashes), bitorder="little")
     return int(bits.view("<i8")[0])
 
@@ -138,9 +148,10 @@ def _nearest(rows: tuple[np.ndarray, ...], radius: int, pairs: int = 1 << 22) ->
     return tuple(map(np.concatenate, zip(*found))) if found else (signed[:0], signed[:0], np.zeros(0, np.int32))
 
 
-def _others(rows: tuple[np.ndarray, ...], radius: int, most: int, pairs: int = 1 << 22) -> tuple[np.ndarray, ...]:
+def _others(rows: tuple[np.ndarray, ...], radius: int, most: int, apart: int, pairs: int = 1 << 22) -> tuple[np.ndarray, ...]:
     """(number, a smaller number of another component, distance) within whole buckets: for each number the ``most`` first by distance and number."""
-    key, tile, fp, role, number, component = rows
+    key, tile, fp, role, number, component = rows[:6]
+    mark = rows[6].view(np.uint64)  # the bits of a negative number are counted without its sign
     group = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
     index, probe = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
     held = np.bincount(group[index], minlength=group[-1] + 1)
@@ -155,8 +166,11 @@ def _others(rows: tuple[np.ndarray, ...], radius: int, most: int, pairs: int = 1
         left = np.repeat(probe[at:to], m)
         right = index[np.repeat(first[group[probe[at:to]]], m) + np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)]
         far = np.bitwise_count(fp[left] ^ fp[right])
-        near = np.flatnonzero((far <= radius) & (number[right] < number[left]) & (component[right] != component[left]))
-        u, v, d = number[left[near]], number[right[near]], far[near]
+        near = np.flatnonzero((far <= radius) & (number[right] < number[left]))
+        left, right = left[near], right[near]
+        shared = np.bitwise_count(mark[left] ^ mark[right])
+        kept = np.flatnonzero((shared <= apart) & (component[right] != component[left]))
+        u, v, d = number[left[kept]], number[right[kept]], shared[kept]
         order = np.lexsort((v, d, u))
         u, v, d = u[order], v[order], d[order]
         new = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])][: len(u)]
@@ -168,7 +182,7 @@ def _others(rows: tuple[np.ndarray, ...], radius: int, most: int, pairs: int = 1
     return tuple(map(np.concatenate, zip(*found))) if found else (number[:0], number[:0], np.zeros(0, np.int32))
 
 
-def _verify(radius: int, nearest: bool = False, most: int = 0, rows_at_once: int = 1 << 18):
+def _verify(radius: int, nearest: bool = False, most: int = 0, apart: int = BITS, rows_at_once: int = 1 << 18):
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())] + [("d", pa.int32())] * (nearest or most > 0))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +201,7 @@ def _verify(radius: int, nearest: bool = False, most: int = 0, rows_at_once: int
             return rows
 
         def out(rows):
-            u, v, *d = _others(rows, radius, most) if most else (_nearest if nearest else _links)(rows, radius)
+            u, v, *d = _others(rows, radius, most, apart) if most else (_nearest if nearest else _links)(rows, radius)
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), *map(pa.array, d)], schema=schema)
 
         for batch in batches:
@@ -258,14 +272,14 @@ def link_fingerprints(classes: DataFrame, radius: int = 3, segments: int = 2, ti
     return found.groupBy("u").agg(F.min(F.struct("d", "v")).alias("n")).select("u", "n.v")
 
 
-def other_components(rows: DataFrame, most: int, radius: int = 3, segments: int = 2, tile: int = 2048) -> DataFrame:
-    """``(u, near)`` of ``rows(kind, fp, number, component, asks)``: for each number that asks, smaller numbers of other components within ``radius`` bits in any kind.
+def other_components(rows: DataFrame, most: int, radius: int = 3, segments: int = 2, tile: int = 2048, apart: int = BITS) -> DataFrame:
+    """``(u, near)`` of ``rows(kind, fp, number, component, mark, asks)``: for each number that asks, smaller numbers of other components within ``radius`` bits in any kind and within ``apart`` bits of their marks.
 
-    They are the ``most`` first by distance and number, so fewer than ``most``
-    are all there are. Equal fingerprints are at distance 0.
+    They are the ``most`` first by distance of the marks and number, so fewer
+    than ``most`` are all there are.
     """
-    met = _dealt(rows.select("kind", "fp", "number", "component", "asks"), radius, segments, tile)
-    found = met.mapInArrow(_verify(radius, most=most), "u long, v long, d int")
+    met = _dealt(rows.select("kind", "fp", "number", "component", "mark", "asks"), radius, segments, tile)
+    found = met.mapInArrow(_verify(radius, most=most, apart=apart), "u long, v long, d int")
     return found.groupBy("u").agg(F.slice(F.sort_array(F.collect_set(F.struct("d", "v"))), 1, most).alias("n")).select("u", F.col("n.v").alias("near"))
 
 
@@ -336,12 +350,13 @@ def likely_pairs(docs: DataFrame, ids: DataFrame, seeds: Sequence[int] = (SEED,
     return pairs.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("rep")).distinct()
 
 
-def similar_to(docs: DataFrame, pairs: DataFrame, width: int = 5, at_least: float = 0.8, buckets: int = 256) -> DataFrame:
+def similar_to(docs: DataFrame, pairs: DataFrame, width: int = 5, at_least: float = 0.8, buckets: int | None = 256) -> DataFrame:
     """Those of ``pairs(id, rep)`` whose texts in ``docs(id, text)`` share ``at_least`` of all shingles of both, counted exactly.
 
     Two texts share no more than the smaller of their counts in each bucket of
     hashes. Pairs that this bound rules out go first, so that only the shingles
-    of the rest, most of which are similar, are shuffled.
+    of the rest, most of which are similar, are shuffled. With None for
+    ``buckets`` all pairs are counted at once, for pairs most of which are.
     """
 
     def met(among: DataFrame, buckets: int | None) -> DataFrame:
@@ -356,63 +371,86 @@ def similar_to(docs: DataFrame, pairs: DataFrame, width: int = 5, at_least: floa
     def add(values: Column) -> Column:
         return F.aggregate(values, F.lit(0).cast("long"), lambda x, y: x + y)
 
+    if buckets is None:
+        return met(pairs, None).filter(enough(F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b"))).select("id", "rep")
     bound = met(pairs, buckets).select("id", "rep", add(F.zip_with("a", "b", lambda x, y: F.least(x, y))).alias("most"), (add(F.col("a")) + add(F.col("b"))).alias("total"))
     likely = materialize(bound.filter(enough(F.col("most"), F.col("total"))).select("id", "rep"), "likely")
     return met(likely, None).filter(enough(F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b"))).select("id", "rep")
 
 
-def text_marks(docs: DataFrame, seeds: Sequence[int], width: int | None = None) -> DataFrame:
-    """``(id, digest, fps)`` of ``docs(id, text)``: 128 bits of the text's words, and the word fingerprint of each seed; with ``width`` that of its shingles first."""
-    seeds = list(seeds)
+def word_marks(words: list[bytes], kinds: int) -> list[int]:
+    """Signed 64-bit SimHashes of the same words; the first is by the words' XXH64, each further one by those mixed once more. 0 without words."""
+    if not words:
+        return [0] * kinds
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
+    ones = []
+    for _ in range(kinds):
+        ones.append(_ones(hashes))
+        hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        hashes ^= hashes >> np.uint64(32)
+    return np.packbits(2 * np.array(ones) > len(words), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+
+
+def text_marks(docs: DataFrame, kinds: int, width: int = 3) -> DataFrame:
+    """``(id, digest, mark, fps)`` of ``docs(id, text)``: 128 bits of the text's words, the fingerprint of its shingles, and ``kinds`` word fingerprints."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, found = [], []
-            for text in batch.column(1).to_pylist():
-                digests.append(xxhash.xxh3_128_digest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), SEED))
-                found.append(([] if width is None else [fingerprint(text, width)]) + word_fingerprints(text, seeds))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["id", "digest", "fps"])
+            digests, marks, found = [], [], []
+            for text in batch.column(1):
+                text = text.as_py()
+                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+                digests.append(xxhash.xxh3_128_digest(b" ".join(words), SEED))
+                marks.append(fingerprint(text, width))
+                found.append(word_marks(words, kinds))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(marks, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "digest", "mark", "fps"])
 
-    return docs.select("id", "text").mapInArrow(of, f"id {docs.schema['id'].dataType.simpleString()}, digest binary, fps array<long>")
+    return docs.select("id", "text").mapInArrow(of, f"id {docs.schema['id'].dataType.simpleString()}, digest binary, mark long, fps array<long>")
 
 
-def similar_leaders(docs: DataFrame, similarity: float = 0.8, seeds: Sequence[int] = (SEED, SEED + 1, SEED + 2), width: int | None = None, radius: int = 3, segments: int = 2, tile: int = 2048, first: int = 1) -> DataFrame:
+def similar_leaders(
+    docs: DataFrame, similarity: float = 0.8, kinds: int = 3, width: int = 3, radius: int = 3, segments: int = 2, tile: int = 2048, apart: int = 16, first: int = 1
+) -> DataFrame:
     """``(id)``, the smallest of each component of ``docs(id, text)``.
 
-    Links are texts of equal words, and pairs within ``radius`` bits by any
-    fingerprint that share ``similarity`` of their five-word shingles, counted
-    exactly. Every pair within the radius is counted, unless links found before
-    join it. A round takes the ``first`` nearest texts of other components for
-    each text, the next eight times as many for those that had that many, until
-    none has, so a group of copies costs few pairs whatever its size.
+    Links are texts of equal words, and pairs that share ``similarity`` of their
+    five-word shingles, counted exactly. Pairs are counted if they are within
+    ``radius`` bits by the SimHash of their shingles or one of ``kinds`` of
+    their words, and in any case within ``apart`` bits by that of their
+    shingles, where unrelated texts are some 32 bits apart and texts that share
+    0.8 some 6; unless links found before join them. A round takes the ``first``
+    nearest texts of other components for each text, the next eight times as
+    many for those that had that many, until none has, so a group of copies
+    costs few pairs whatever its size.
     """
-    marks = materialize(text_marks(docs, seeds, width), "marks")
-    items = marks.filter("id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("fps").alias("fps"))
-    items = materialize(items.select("rep", "fps"), "items")
+    marks = materialize(text_marks(docs, kinds, width), "marks")
+    items = marks.filter("id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("mark").alias("mark"), F.first("fps").alias("fps"))
+    items = materialize(items.select("rep", "mark", "fps"), "items")
     numbers = materialize(items.select("rep").distinct().withColumn("number", F.monotonically_increasing_id()), "numbers")
-    items = materialize(items.join(numbers, "rep").select("number", "fps"), "items")
-    kinds = len(list(seeds)) + (width is not None)
+    items = materialize(items.join(numbers, "rep").select("number", "mark", F.concat(F.array("mark"), "fps").alias("fps")), "items")
     named = lambda pairs: pairs.join(numbers.toDF("id", "u"), "u").join(numbers.toDF("rep", "v"), "v").select("id", "rep")
     numbered = lambda pairs: pairs.join(numbers.toDF("id", "u"), "id").join(numbers.toDF("rep", "v"), "rep").select("u", "v")
+    near_by = lambda rows: materialize(other_components(rows, most, radius, segments, tile, apart), "near")
     asking = tested = edges = components = None
     most = first
     while asking is None or not asking.isEmpty():
-        rows = items.select("number", F.posexplode("fps").alias("kind", "fp"))
-        rows = rows.withColumn("component", F.col("number")) if components is None else rows.join(components.toDF("number", "component"), "number", "left").withColumn("component", F.coalesce("component", "number"))
         if asking is None:  # one kind after the other, as all texts ask
             near = None
-            for i in range(kinds):
-                own = materialize(other_components(rows.withColumn("asks", F.lit(True)).filter(F.col("kind") == i), most, radius, segments, tile), "near")
+            for i in range(1 + kinds):
+                own = near_by(items.select("number", "mark", F.lit(i).alias("kind"), F.col("fps")[i].alias("fp"), F.col("number").alias("component"), F.lit(True).alias("asks")))
                 near = own if near is None else near.union(own)
         else:
+            rows = items if components is None else items.join(components.toDF("number", "component"), "number", "left")
+            rows = rows.withColumn("component", F.lit(None).cast("long") if components is None else F.col("component")).withColumn("component", F.coalesce("component", "number"))
             rows = rows.join(asking.withColumn("asks", F.lit(True)), F.col("number") == F.col("u"), "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-            near = materialize(other_components(materialize(rows, "asking"), most, radius, segments, tile), "near")
+            near = near_by(materialize(rows.select("number", "mark", "component", "asks", F.posexplode("fps").alias("kind", "fp")), "asking"))
         asking = near.filter(F.size("near") >= most).select("u").distinct()
         found = near.select("u", F.explode("near").alias("v"))
         new = found.distinct() if tested is None else found.distinct().join(tested, ["u", "v"], "left_anti")
         new = materialize(new, "pairs")
         tested = new if tested is None else tested.union(new)
-        links = materialize(numbered(similar_to(docs, named(new), at_least=similarity)), "similar")
+        links = materialize(numbered(similar_to(docs, named(new), at_least=similarity, buckets=None)), "similar")
         if not links.isEmpty():
             edges = links if edges is None else edges.union(links)
             components = materialize(connected_components(edges), "components")
@@ -437,7 +475,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keep = materialize(found.filter("id = component_id").groupBy("id").count(), "kept")
     else:
         texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        leaders = similar_leaders(texts, similarity=similarity, **{"width": 3} | how)
+        leaders = similar_leaders(texts, similarity=similarity, **how)
         keep = materialize(texts.groupBy("id").count().join(leaders, "id", "left_semi"), "kept")
     repeated = keep.filter("count > 1").select("id")
     ids = keep.select(F.col("id").alias("__keep"))
@@ -450,5 +488,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and the smallest id of its component."""
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
