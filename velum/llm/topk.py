@@ -12,19 +12,34 @@ from pyspark.sql import functions as F
 
 from velum.llm.common import materialize, table
 
-#: Components of larger size after scaling don't take part, so that no score leaves 64 bits.
-LARGEST = 1 << 26
+#: Components must be smaller in size after scaling, so that differences fit 64 bits.
+LARGEST = 1 << 62
 BLOCK = 1 << 15
 QUERIES = 1 << 15
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """``(id, v)`` with v = floor(scale * component), of rows with an id and all components finite."""
-    v = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    fits = F.forall(F.col(vector_col), lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double")) * scale < LARGEST), F.lit(False)))
+
+    def component(x):
+        scaled = F.lit(float(scale)) * x.cast("double")
+        return F.when(F.abs(scaled) < float(LARGEST), F.floor(scaled)).otherwise(F.raise_error(F.lit(f"a component of {vector_col} is 2**62 or more after scaling")).cast("long"))
+
+    v = F.transform(F.col(vector_col), component)
+    fits = F.forall(F.col(vector_col), lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
     return vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).filter(fits).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
+def exact_scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products; an error if one leaves 64 bits."""
+    if rows.size and float(np.abs(rows).max()) * np.abs(query).astype(np.float64).sum() >= 2.0**62:
+        scores = rows.astype(object) @ query.astype(object)
+        if any(not -(1 << 63) <= x < 1 << 63 for x in scores):
+            raise OverflowError("a score leaves 64 bits")
+        return scores.astype(np.int64)
+    return rows @ query
+
+
 class SlicedIndex:
     """Bit slices of a block of vectors: ``slices[dimension, bit]`` is a bitmap over the block's rows, sorted by id."""
 
@@ -117,7 +132,7 @@ class SlicedIndex:
                     tied[:] = 0
                     break
         rows = np.r_[self._rows(sure), self._rows(tied)[: k - n_sure]]
-        return self.ids[rows], self.rows[rows] @ query
+        return self.ids[rows], exact_scores(self.rows[rows], query)
 
     def _rows(self, bitmap: np.ndarray) -> np.ndarray:
         word = np.flatnonzero(bitmap)
@@ -176,8 +191,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     """``(query_id, rank, vec_id, score)``: each query's k best rows of ``vectors`` by integer inner product, ties to the smaller id.
 
     Components are floor(scale * x). A row with the query's id is no candidate.
-    Rows with a null id or vector, a null or non-finite component or one of
-    2**26 or more after scaling take no part; a query meets vectors of its own
+    Rows with a null id or vector or a null or non-finite component take no
+    part; a component of 2**62 or more after scaling, or a best score that
+    leaves 64 bits, is an error, as no such score could be given; a query meets vectors of its own
     length only; of repeated query ids the smallest vector counts; repeated
     candidates each count. No queries or no rows give no rows.
 
@@ -206,6 +222,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
 
 
 def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best vectors for each of those whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
