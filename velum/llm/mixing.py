@@ -10,6 +10,8 @@ from velum.llm.common import materialize, table
 
 CAP = 3
 BUCKETS = 4096
+#: The order in which a source's documents are taken.
+ORDER = ("__key", "__id", "__size", "__tie")
 #: Sources up to which the table of sources, some 80 bytes each, is broadcast.
 SMALL = 100_000
 
@@ -24,7 +26,7 @@ def quality(text: Column, size: Column) -> Column:
 
 
 def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
-    """``docs`` with ``__id``, ``__source``, ``__size`` (words), ``__key`` and ``__bucket``.
+    """``docs`` with ``__id``, ``__source``, ``__size`` (words), ``__key``, ``__bucket`` and ``__tie`` (a hash of the text).
 
     The key is an exponential variate over the weight, from a hash of the id, so
     that any run draws the same; the bucket is a step function of the key with
@@ -33,7 +35,7 @@ def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     text, id_ = F.col(text_col).cast("string"), F.col(id_col).cast("string")
     seed = F.coalesce(id_, F.md5(text), F.lit(""))
     draw = (F.conv(F.substring(F.md5(seed), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    sized = docs.withColumns({"__id": F.col(id_col), "__source": F.col(source_col).cast("string"), "__size": word_count(text)})
+    sized = docs.withColumns({"__id": F.col(id_col), "__source": F.col(source_col).cast("string"), "__size": word_count(text), "__tie": F.xxhash64(text)})
     w = quality(text, F.col("__size")) if weight is None else weight
     keyed = sized.withColumn("__key", -F.log(draw) / w)
     return keyed.withColumn("__bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("__key"))) * BUCKETS)).cast("int"))
@@ -67,7 +69,7 @@ def mixing_plan(keys: DataFrame) -> DataFrame:
     Sizes are summed for each source and bucket first; only the one bucket of a
     source in which its budget ends is sorted.
     """
-    rows = keys.select("__id", "__source", "__size", "__key", "__bucket")
+    rows = keys.select("__source", "__bucket", *ORDER)
     sums = materialize(rows.groupBy(F.col("__source").alias("source"), F.col("__bucket").alias("bucket")).agg(F.sum("__size").alias("inside")), "buckets")
     goal = targets(sums.groupBy("source").agg(F.sum("inside").alias("source_size"))).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = materialize(goal.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")), "targets")
@@ -75,11 +77,12 @@ def mixing_plan(keys: DataFrame) -> DataFrame:
     placed = sums.withColumn("before", F.sum("inside").over(order) - F.col("inside")).withColumnRenamed("source", "s")
     ends = placed.join(goal.select("source", "budget"), F.col("s").eqNullSafe(F.col("source"))).filter((F.col("before") <= F.col("budget")) & (F.col("before") + F.col("inside") > F.col("budget"))).select("source", "bucket", "before", "budget")
     inside = rows.join(few(ends), F.col("__source").eqNullSafe(F.col("source")) & (F.col("__bucket") == F.col("bucket")))
-    run = F.sum("__size").over(W.partitionBy("source").orderBy("__key", "__id", "__size").rowsBetween(W.unboundedPreceding, 0)) - F.col("__size")
+    run = F.sum("__size").over(W.partitionBy("source").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)) - F.col("__size")
     taken = inside.withColumn("run", F.col("before") + run).filter(F.col("run") + F.col("__size") / 2 < F.col("budget"))
-    last = taken.groupBy("source").agg(F.max(F.struct("__key", "__id", "__size")).alias("last"))
+    last = taken.groupBy("source").agg(F.max(F.struct(*ORDER)).alias("last"))
     cut = ends.select(F.col("source").alias("s"), "bucket").join(last, F.col("s").eqNullSafe(F.col("source")), "left").select("s", "bucket", "last")
-    return materialize(goal.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "epochs", "bucket", "last"), "plan")
+    plan = goal.join(cut, F.col("source").eqNullSafe(F.col("s")), "left")
+    return materialize(plan.select(*[F.col(c).alias(f"__plan_{c}") for c in ("source", "source_size", "target", "epochs", "bucket", "last")]), "plan")
 
 
 def few(plan: DataFrame) -> DataFrame:
@@ -88,11 +91,11 @@ def few(plan: DataFrame) -> DataFrame:
 
 
 def planned(keys: DataFrame, plan: DataFrame) -> DataFrame:
-    """``keys`` with its source's row of the plan and ``times``, how often a document is taken."""
-    own = F.struct("__key", "__id", "__size")
-    once_more = (F.col("__bucket") < F.col("bucket")) | ((F.col("__bucket") == F.col("bucket")) & (own <= F.col("last")))
-    met = keys.join(few(plan.withColumnRenamed("source", "__plan")), F.col("__source").eqNullSafe(F.col("__plan")), "left")
-    return met.withColumn("times", F.col("epochs") + F.when(F.coalesce(once_more, F.lit(False)), 1).otherwise(0))
+    """``keys`` with its source's row of the plan and ``__times``, how often a document is taken."""
+    bucket, last = F.col("__plan_bucket"), F.col("__plan_last")
+    once_more = (F.col("__bucket") < bucket) | ((F.col("__bucket") == bucket) & (F.struct(*ORDER) <= last))
+    met = keys.join(few(plan), F.col("__source").eqNullSafe(F.col("__plan_source")), "left")
+    return met.withColumn("__times", F.col("__plan_epochs") + F.when(F.coalesce(once_more, F.lit(False)), 1).otherwise(0))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
@@ -102,21 +105,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     target goes to documents in the order of their keys, as long as the middle
     of a document is within it. Null texts have size 0, and null sources are a
     source of their own, the last one. Ties in the key go by id, then size, null
-    ids first; repeated rows are taken or left together. No rows give no rows.
+    ids first; of rows that repeat an id and a size as many are taken as fit.
+    No rows give no rows.
     """
-    keys = materialize(with_keys(docs, id_col, text_col, source_col, weight).select("__id", "__source", "__size", "__key", "__bucket"), "keys")
+    keys = with_keys(docs, id_col, text_col, source_col, weight).select("__id", "__source", "__size", "__key", "__bucket")
+    keys = materialize(keys.withColumn("__tie", F.monotonically_increasing_id()), "keys")
     found = planned(keys, mixing_plan(keys))
-    return found.select(F.col("__id").alias("id"), F.col("__size").alias("size"), "source_size", "target", "times", (F.col("__size") * F.col("times")).alias("taken"))
+    names = {"__id": "id", "__size": "size", "__plan_source_size": "source_size", "__plan_target": "target", "__times": "times"}
+    return found.select(*[F.col(c).alias(n) for c, n in names.items()], (F.col("__size") * F.col("__times")).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; rows of size 0 are in every complete epoch."""
+    """``docs`` with each row as often as the mix takes it; rows of size 0 are in every complete epoch.
+
+    As ``mix``, but ties in key, id and size go by the text, and rows that
+    repeat all of these are taken or left together. All columns stay, whatever
+    their names (but for ones that begin with two underscores).
+    """
     keys = with_keys(docs, id_col, text_col, source_col, weight)
-    plan = mixing_plan(materialize(keys.select("__id", "__source", "__size", "__key", "__bucket"), "keys"))
-    return planned(keys, plan).filter("times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*docs.columns)
+    plan = mixing_plan(materialize(keys.select("__source", "__bucket", *ORDER), "keys"))
+    return planned(keys, plan).filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of sources takes."""
     found = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
