@@ -33,36 +33,37 @@ def item_windows(text: str | None, width: int) -> set[str]:
 
 
 class Automaton:
-    """All windows of some items in one automaton, each with the items that hold it."""
+    """All windows of some items in one automaton over numbered words, each with the items that hold it."""
 
     def __init__(self, items: list[tuple[str, str | None]], width: int):
         held: dict[str, set[str]] = defaultdict(set)
         for item, text in items:
             for w in item_windows(text, width):
                 held[w].add(item)
-        self.machine = ahocorasick.Automaton()
-        for w, ids in held.items():
-            self.machine.add_word(f" {w} ", (w.count(" ") + 1, tuple(ids)))
+        self.numbers = {w: n for n, w in enumerate({w for window in held for w in window.split(" ")}, 1)}
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for window, ids in held.items():
+            key = tuple(map(self.numbers.__getitem__, window.split(" ")))
+            self.machine.add_word(key, (len(key), tuple(ids)))
         self.empty = not held
         if held:
             self.machine.make_automaton()
 
-    def scan(self, joined: str) -> list[tuple[int, int, tuple[str, ...]]]:
-        """(index of the blank behind the match, words, items) of each occurrence in blank-separated words."""
-        return [] if self.empty else [(e, *found) for e, found in self.machine.iter(joined)]
+    def scan(self, words: list[str]) -> list[tuple[int, int, tuple[str, ...]]]:
+        """(number of the last word, words, items) of each occurrence."""
+        if self.empty or not words:
+            return []
+        number = self.numbers.get
+        return [(e, *found) for e, found in self.machine.iter(tuple([number(w, 0) for w in words]))]
 
 
 def find_items(text: str | None, machines: list[Automaton]) -> dict:
     """Words, hit words, items found and the hit runs as offsets in the text, of one text."""
-    plain = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
-    if not plain:
-        return {"n_words": 0, "n_hit": 0, "items": [], "spans": []}
-    joined = f" {b' '.join(plain).decode('utf-8', 'surrogatepass')} "
-    found = [x for m in machines for x in m.scan(joined)]
+    plain = words(text)
+    found = [x for m in machines for x in m.scan(plain)]
     if not found:
         return {"n_words": len(plain), "n_hit": 0, "items": [], "spans": []}
-    blanks = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32) == 0x20)
-    end = np.searchsorted(blanks, np.fromiter((e for e, _, _ in found), np.int64, len(found)))
+    end = np.fromiter((e + 1 for e, _, _ in found), np.int64, len(found))
     n = np.fromiter((k for _, k, _ in found), np.int64, len(found))
     edge = np.zeros(len(plain) + 1, np.int64)
     np.add.at(edge, end - n, 1)
@@ -77,13 +78,13 @@ def find_items(text: str | None, machines: list[Automaton]) -> dict:
 _BUILT: dict = {}
 
 
-def contamination(benchmark: DataFrame, width: int = 8, item_col: str = "item_id", text_col: str = "text", block_bytes: int = 32 << 20):
+def contamination(benchmark: DataFrame, width: int = 8, item_col: str = "item_id", text_col: str = "text", block_bytes: int = 2 << 20):
     """A function from a text column to ``RESULT``.
 
     The items' texts are broadcast in blocks of about ``block_bytes`` bytes.
     One block is the rule and is one automaton, built once in each Python
     worker; a larger benchmark is more blocks, of which a worker holds one at a
-    time. Items with a null id or no words take no part; an id with several
+    time and builds it for each batch of texts, so memory doesn't grow. Items with a null id or no words take no part; an id with several
     texts is one item with the windows of all.
     """
     spark = benchmark.sparkSession
@@ -153,6 +154,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hit words and benchmark items of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = with_contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "contamination.*")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("items") >= 2).alias("contaminated"))
