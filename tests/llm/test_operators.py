@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 from collections import defaultdict
 
 import numpy as np
@@ -14,7 +15,7 @@ from velum.llm.automaton import Automaton
 from velum.llm.decontaminate import drop_contaminated, with_contamination
 from velum.llm.graph import connected_components, local_components
 from velum.llm.language import LanguageFilter, keep_known_languages, train_language_filter, with_language
-from velum.llm.linededup import line_dedup, with_chunks
+from velum.llm.linededup import line_dedup
 from velum.llm.mixing import apply_mix, mix, targets
 from velum.llm.pii import BASE, estimate_reliabilities, find_pii
 from velum.llm.secrets import Scanner, with_secrets
@@ -44,6 +45,18 @@ def test_top_k_equals_brute_force(spark):
     assert top_k(df.limit(0), df).count() == 0 and top_k(df, df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [300000.0, 1.0]), (1, [-1e8, 2.0]), (2, [1e8, 0.5]), (3, [0.0, -1e14]), (4, [2.5e5, 1e3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = sorted((-sum(a * b for a, b in zip(whole[0], whole[i])), i) for i in whole if i)
+    assert [(x.vec_id, x.score) for x in top_k(df, df.filter("vec_id = 0")).orderBy("rank").collect()] == [(i, -s) for s, i in want]
+    for bad in ([1e11, 1e11], [1e30, 0.0]):  # a score, then a component
+        wide = spark.createDataFrame([(0, bad), (1, bad)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="leaves 64 bits|2\\*\\*62"):
+            top_k(wide, wide).collect()
+
+
 # --- Language --------------------------------------------------------------------------------
 
 
@@ -352,6 +365,20 @@ def test_mix_meets_targets(spark):
     copies = apply_mix(df).groupBy("doc_id").count().collect()
     assert {x.doc_id: x["count"] for x in copies if x.doc_id not in (7, None)} == {x.id: x.times for x in got if x.times and x.id not in (7, None)}
     assert mix(empty(spark)).count() == 0 and mix(docs(spark)).count() == len(ROWS)
+    assert apply_mix(empty(spark)).count() == 0
+
+
+def test_mix_takes_as_many_repeats_as_fit(spark):
+    rows = [(1, "a b c d", "s0")] * 300 + [(k, prose("en", 40, k), "s1") for k in range(2, 30)]
+    got = [x for x in mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect() if x.id == 1]
+    assert abs(sum(x.taken for x in got) - got[0].target) <= 4
+
+
+def test_apply_mix_keeps_columns_of_any_name(spark):
+    names = ["target", "bucket", "last", "times", "epochs", "source_size", "size", "taken", "weight", "budget", "plan"]
+    df = spark.createDataFrame([(k, prose("en", 9, k), f"s{k % 3}", *range(len(names))) for k in range(60)], ["doc_id", "text", "source", *names])
+    out = apply_mix(df)
+    assert out.columns == df.columns and {tuple(x)[3:] for x in out.collect()} == {tuple(range(len(names)))}
 
 
 # --- Personal data -------------------------------------------------------------------------------------------
@@ -398,29 +425,77 @@ def test_reliabilities_favour_the_labeler_that_agrees():
 # --- Lines --------------------------------------------------------------------------------------------------
 
 
+def spark_hash(values, seed=42):
+    """The engine's 64-bit hash of texts and whole numbers, one after the other."""
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else struct.pack("<q", v)
+        seed = xxhash.xxh64_intdigest(raw, seed % (1 << 64))
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def slow_line_dedup(rows, words=50):
+    """The lines that go of each (id, text), by the definition."""
+    places, pieces = defaultdict(set), {}
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        hashes = [spark_hash([x]) for x in lines]
+        marked = [False] + [spark_hash(hashes[k - 1 : k + 1]) % 2 == 0 for k in range(1, len(lines))]
+        ends = [k for k in range(1, len(lines)) if marked[k] and not marked[k - 1]]
+        cuts = [0] + [e + 1 for e in ends if e + 1 < len(lines)] + [len(lines)]
+        own = {(a, b, True) for a, b in zip(cuts, cuts[1:]) if b - a >= 2}
+        own |= {(k, k + 2, False) for k in range(len(lines) - 1)}
+        own |= {(k, k + 1, False) for k in range(len(lines)) if len(lines[k].split()) >= words}
+        who = (i, spark_hash([t]) if t is not None else 42)
+        pieces[who] = lines, own
+        for a, b, chunk in own:
+            places[chunk, tuple(lines[a:b])].add((*who, a))
+    dead = {}
+    for who, (lines, own) in pieces.items():
+        gone = {}
+        for a, b, chunk in own:
+            if min(places[chunk, tuple(lines[a:b])]) != (*who, a):
+                for k in range(a, b):
+                    gone[k] = gone.get(k, False) or chunk
+        runs = []
+        for k in sorted(gone):
+            runs[-1].append(k) if runs and runs[-1][-1] == k - 1 else runs.append([k])
+        dead[who] = {k for run in runs if any(gone[k] for k in run) or sum(len(lines[k].split()) for k in run) >= words for k in run}
+    return dead
+
+
 def test_line_dedup_equals_brute_force(spark):
     r = random.Random(6)
-    lines = [f"line {k} of the pool" for k in range(12)] + ["", "é"]
+    lines = [f"line {k} of the pool" for k in range(12)] + ["", "é", prose("en", 70, 9), prose("de", 30, 9), prose("de", 30, 10)]
     rows = [(i, "\n".join(r.choice(lines) if r.random() < 0.6 else f"own {i} {k}" for k in range(r.randint(1, 15)))) for i in range(150)] + [(150, None), (151, ""), (152, "\n\n\n")]
     shared = "\n".join(f"shared {k}" for k in range(20))
-    rows += [(153, "head\n" + shared), (154, shared + "\ntail"), (155, "x\ny\nz\n" + shared)]
+    rows += [(153, "head\n" + shared), (154, shared + "\ntail"), (155, "x\ny\nz\n" + shared), (156, shared + "\nfirst text"), (156, shared + "\nsecond text")]
+    df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string").repartition(4)
+    dead = slow_line_dedup(rows)
+    kept = {who: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in dead[who]) for who, t in zip([(i, spark_hash([t]) if t is not None else 42) for i, t in rows], [t for _, t in rows])}
+    out = line_dedup(df).collect()
+    assert sorted((x.doc_id, str(x.text), x.n_cut_lines) for x in out) == sorted((i, str(kept[i, v]), len(dead[i, v])) for i, v in [*kept, *list(kept)[:5]])
+    assert all(sum(x.doc_id == i and x.n_cut_lines >= 19 for x in out) == (2 if i == 156 else 1) for i in (154, 155, 156))  # wherever the passage stands
+
+
+def test_line_dedup_finds_short_passages_anywhere(spark):
+    r = random.Random(8)
+    own = lambda i, n: [f"only {i} {r.random()} {k}" for k in range(n)]
+    rows, n_lines = [], {}
+    for n in range(1, 9):
+        passage = [prose("en", -(-56 // n), 100 * n + k) for k in range(n)]
+        for c in range(6):
+            i = len(rows)
+            rows.append((i, "\n".join([*own(i, r.randrange(6)), *passage, *own(i, r.randrange(6))])))
+            n_lines[i] = n if c else 0
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    places = defaultdict(list)
-    for x in with_chunks(df.filter("text is not null"), "text", 2, 2).collect():
-        assert sum(c["n"] for c in x["__chunks"]) == len(x["__lines"])
-        for c in x["__chunks"]:
-            if c["n"] >= 2:
-                a = c["first"] - 1
-                places["\n".join(x["__lines"][a : a + c["n"]])].append((x.doc_id, a, c["n"]))
-    dead = defaultdict(set)
-    for found in places.values():
-        for i, a, n in sorted(found)[1:]:
-            dead[i] |= set(range(a, a + n))
-    got = {x.doc_id: x for x in line_dedup(df).collect()}
-    for i, t in rows:
-        want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in dead[i])
-        assert got[i].text == want and got[i].n_cut_lines == len(dead[i])
-    assert got[154].n_cut_lines >= 10 and got[155].n_cut_lines >= 10  # wherever the passage stands
+    assert {x.doc_id: x.n_cut_lines for x in line_dedup(df).collect()} == n_lines
+
+
+def test_line_dedup_of_many_lines(spark):
+    body = "\n".join(f"line {k}" for k in range(20_000))
+    rows = [(1, body), (2, "start\n" + body + "\nend"), (3, "\n" * 50_000)]
+    got = {x.doc_id: x for x in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].text == body and got[2].text == "start\nend" and got[2].n_cut_chunks == 1
 
 
 def test_line_dedup_edges(spark):
