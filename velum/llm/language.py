@@ -209,6 +209,7 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, from what the documents that are not held out teach."""
     docs = table(spark, sf_dir, "documents")
     model = train_language_filter(training_rows(docs))
     found = with_language(docs.select("doc_id", "text"), model)
