@@ -3,6 +3,7 @@ import math
 import random
 import re
 import struct
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -17,7 +18,7 @@ from velum.llm.graph import connected_components, local_components
 from velum.llm.language import LanguageFilter, keep_known_languages, train_language_filter, with_language
 from velum.llm.linededup import line_dedup
 from velum.llm.mixing import apply_mix, mix, targets
-from velum.llm.pii import BASE, estimate_reliabilities, find_pii
+from velum.llm.pii import BASE, LOOSE, NEEDS, candidates, estimate_reliabilities, find_pii
 from velum.llm.secrets import Scanner, with_secrets
 from velum.llm.sharding import lookup_table, shard_names, with_shards
 from velum.llm.simhash import fingerprint, likely_pairs, link_fingerprints, near_dedup, similar_to, simhash_components, word_fingerprints
@@ -417,6 +418,53 @@ def test_pii_adds_kinds_and_keeps_base(spark):
     assert not got[2].base and set(BASE) == {"email", "ip", "card", "phone"}
 
 
+def test_pii_adds_what_the_votes_are_for(spark):
+    good, bad = "4111111111111111", "4111111111111112"  # two cards side by side are no base card
+    texts = [f"pay by card {good} {good} now", f"number {bad} {bad}", "tel (212) 555-0199", "id (012) 155-0199 x", "IBAN DE89 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 01", "write to bob (at) example (dot) com", "Dr Anna Smith", f"{good} and 123-45-6789"]
+    texts = texts * 10 + ["call +1 (212) 555-0100 or mail a@b.com from 10.1.2.3"] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x.id: [(s.kind, texts[x.id][s.start : s.end]) for s in x.added] for x in find_pii(df).collect()}
+    assert [got[i] for i in range(9)] == [
+        [("card_group", good)] * 2,
+        [],
+        [("local_phone", "(212) 555-0199")],
+        [],
+        [("iban", "DE89 3704 0044 0532 0130 00")],
+        [],
+        [("spelled_email", "bob (at) example (dot) com")],
+        [("name", "Dr Anna Smith")],
+        [("ssn", "123-45-6789")],
+    ]
+    never = find_pii(df, votes=lambda kind, found, near: F.array(*[F.lit(1 if kind in BASE else -1)] * 3)).collect()
+    assert not any(x.added for x in never) and {x.id: len(x.base) for x in never} == {x.id: len(x.base) for x in find_pii(df).collect()}
+
+
+def slow_free(base, loose):
+    return [s for s in loose if not any(b[1] < s[2] and s[1] < b[2] for b in base)]
+
+
+def test_pii_candidates_equal_brute_force(spark):
+    r = random.Random(12)
+    parts = ["4111111111111111", "(212) 555-0199", "078-05-1120", "+1 212 555 0199", " ", " ", ", ", "a@b.com", "Dr Anna Smith", "é", "😀", "7", "-", "0049 30 123 4567", "bob [at] x.org", "DE89370400440532013000"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(400)] + [" ".join(["4111111111111111, (212) 555-0199 a@b.com"] * 1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for x in candidates(df).collect():
+        loose = [(k, m.start(), m.end()) for k, p in LOOSE.items() for m in re.finditer(p, texts[x.doc_id]) if (NEEDS[k] or "" if k in NEEDS else "") in texts[x.doc_id]]
+        assert [(s.kind, s.start, s.end) for s in x["__base"]] == slow_pii(texts[x.doc_id])
+        assert [(s.kind, s.start, s.end) for s in x["__loose"]] == slow_free(slow_pii(texts[x.doc_id]), loose)
+
+
+def test_pii_of_many_matches_takes_linear_time(spark):
+    took = []
+    for n in (20_000, 80_000):
+        df = spark.createDataFrame([(1, "a@b.com 1.2.3.4 (212) 555-0199, " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        x = find_pii(df).first()
+        took.append(time.perf_counter() - began)
+        assert len(x.base) == 2 * n and (x.base[-1].end, x.base[n - 1].end) == (32 * n - 17, 32 * n - 25)
+    assert took[1] < 10 * took[0] + 10
+
+
 def test_reliabilities_favour_the_labeler_that_agrees():
     prior, right, posterior = estimate_reliabilities({(1, 1, 1): 50, (1, 1, -1): 20, (-1, -1, 1): 20, (-1, -1, -1): 50})
     assert right[0] > right[2] and posterior[1, 1, -1] > 0.5 > posterior[-1, -1, 1] and 0 < prior < 1
