@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty() and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="velum-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")

@@ -16,45 +16,54 @@ from velum.llm.common import table, text_groups
 #: Bytes that are part of a word after lower-casing: digits, letters and everything outside ASCII.
 _TABLE = bytes(b if b >= 0x80 or chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
+BASE_OF_DIGITS = 104
+MOST_WORDS = BASE_OF_DIGITS**3
 RESULT = "struct<n_words:long,n_hit:long,items:array<string>,spans:array<struct<start:long,end:long>>>"
 _RESULT = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
-def words(text: str | None) -> list[str]:
-    """The normalised words of a text."""
-    plain = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE)
-    return [w.decode("utf-8", "surrogatepass") for w in plain.split()]
+def words(text: str | None) -> list[bytes]:
+    """The normalised words of a text, in UTF-8."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def item_windows(text: str | None, width: int) -> set[str]:
+def item_windows(text: str | None, width: int) -> set[tuple[bytes, ...]]:
     """Windows of ``width`` consecutive words; a shorter item is one window, one without words has none."""
     w = words(text)
-    return {" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
 
 
 class Automaton:
-    """All windows of some items in one automaton over numbered words, each with the items that hold it."""
+    """All windows of some items in one automaton, each with the items that hold it.
+
+    A word stands as a number of three digits, each place with signs of its own,
+    so that matches begin with words, windows are short keys, and no state has
+    more than BASE_OF_DIGITS ways on, as these are searched one by one.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], width: int):
-        held: dict[str, set[str]] = defaultdict(set)
+        held: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
         for item, text in items:
             for w in item_windows(text, width):
                 held[w].add(item)
-        self.numbers = {w: n for n, w in enumerate({w for window in held for w in window.split(" ")}, 1)}
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        known = {w for window in held for w in window}
+        if len(known) > MOST_WORDS:
+            raise ValueError(f"more than {MOST_WORDS} different words in one block of items")
+        first, second, third = ([chr(a + 256 * place) for a in range(1, BASE_OF_DIGITS + 1)] for place in range(1, 4))
+        self.signs = {w: first[n // BASE_OF_DIGITS**2] + second[n // BASE_OF_DIGITS % BASE_OF_DIGITS] + third[n % BASE_OF_DIGITS] for n, w in enumerate(known)}
+        self.machine = ahocorasick.Automaton()
         for window, ids in held.items():
-            key = tuple(map(self.numbers.__getitem__, window.split(" ")))
-            self.machine.add_word(key, (len(key), tuple(ids)))
+            self.machine.add_word("".join(map(self.signs.__getitem__, window)), (len(window), tuple(ids)))
         self.empty = not held
         if held:
             self.machine.make_automaton()
 
-    def scan(self, words: list[str]) -> list[tuple[int, int, tuple[str, ...]]]:
+    def scan(self, words: list[bytes]) -> list[tuple[int, int, tuple[str, ...]]]:
         """(number of the last word, words, items) of each occurrence."""
         if self.empty or not words:
             return []
-        number = self.numbers.get
-        return [(e, *found) for e, found in self.machine.iter(tuple([number(w, 0) for w in words]))]
+        sign = self.signs.get
+        return [(e // 3, *found) for e, found in self.machine.iter("".join([sign(w, "\0\0\0") for w in words]))]
 
 
 def find_items(text: str | None, machines: list[Automaton]) -> dict:
@@ -78,7 +87,7 @@ def find_items(text: str | None, machines: list[Automaton]) -> dict:
 _BUILT: dict = {}
 
 
-def contamination(benchmark: DataFrame, width: int = 8, item_col: str = "item_id", text_col: str = "text", block_bytes: int = 2 << 20):
+def contamination(benchmark: DataFrame, width: int = 8, item_col: str = "item_id", text_col: str = "text", block_bytes: int = 1 << 20):
     """A function from a text column to ``RESULT``.
 
     The items' texts are broadcast in blocks of about ``block_bytes`` bytes.

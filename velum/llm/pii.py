@@ -26,7 +26,7 @@ LOOSE = {
     "intl_phone": r"(?:\+|(?<![0-9])00)[1-9][0-9]{0,2}[\x20-]?\(?[0-9]{2,4}\)?[\x20-]?[0-9]{3,4}[\x20-]?[0-9]{3,4}(?![0-9])",
     "card_group": r"(?<![0-9])[0-9]{4}(?:([\x20-]?)[0-9]{4})(?:\1[0-9]{4}){2}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "spelled_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]{1,63}){1,4}",
     "name": r"(?<![A-Za-z])(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?",
 }
@@ -221,8 +221,8 @@ def candidates(docs: DataFrame, text_col: str = "text", votes: Callable[[str, Co
     return now.withColumn("__loose", _free(F.col("__base"), F.col("__all"))).drop("__all", "__digit")
 
 
-#: A labeler's reliability is at most this: the pattern's own check is a proof, the others are hints.
-MOST_RELIABLE = (0.99, 0.8, 0.8)
+#: A labeler's reliability at first and at most: the pattern's own check is nearly a proof, the others are hints.
+RELIABLE = ((0.95, 0.99), (0.7, 0.8), (0.7, 0.8))
 
 
 def estimate_by_kind(counts: dict[tuple[str, tuple[int, ...]], float], rounds: int = 50) -> tuple[dict[str, float], list[float], dict[tuple[str, tuple[int, ...]], float]]:
@@ -233,8 +233,8 @@ def estimate_by_kind(counts: dict[tuple[str, tuple[int, ...]], float], rounds: i
     pattern of votes, however many spans there are.
     """
     k = len(next(iter(counts), ("", (0, 0, 0)))[1])
-    most = [*MOST_RELIABLE, *[0.8] * k][:k]
-    prior, right = {kind: 0.7 for kind, _ in counts}, [0.8] * k
+    right, most = map(list, zip(*[*RELIABLE, *[RELIABLE[-1]] * k][:k]))
+    prior = {kind: 0.7 for kind, _ in counts}
     posterior: dict[tuple[str, tuple[int, ...]], float] = {}
     for _ in range(rounds):
         for kind, votes in counts:
