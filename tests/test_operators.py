@@ -115,6 +115,39 @@ def test_live_heads_take_late_and_repeated_commits(spark, tmp_path):
     assert {(x.key, x.id, x.value) for x in live.table().collect()} == {("k", 5, 1.0), ("j", 7, 3.0)}
 
 
+def test_live_heads_go_on_after_a_restart(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "id long, key string, ts long")
+    LiveHeads(spark, str(tmp_path)).apply(make([(5, "k", 50), (6, "j", 10)]), 0)
+    (tmp_path / "v2").mkdir()  # a version that was never completed
+    second = LiveHeads(spark, str(tmp_path))
+    second.apply(make([(7, "j", 20), (1, "i", 1)]), 0)
+    second.apply(make([(7, "j", 20), (1, "i", 1)]), 0)  # replayed
+    assert {(x.key, x.id) for x in LiveHeads(spark, str(tmp_path)).table().collect()} == {("k", 5), ("j", 7), ("i", 1)}
+
+
+def test_depth_of_a_long_chain_and_a_cycle(spark):
+    chain = spark.range(20_000).select("id", F.lit("k").alias("key"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.col("id").alias("ts"))
+    assert graph.depths(chain).agg(F.max("depth")).first()[0] == 19_999
+    assert graph.nearest(chain, F.col("id") % 5000 == 0).filter("id = 14999").first().found == 10_000
+    ring = spark.createDataFrame([(1, "k", 2), (2, "k", 1)], "id long, key string, parent long")
+    with pytest.raises(ValueError):
+        graph.depths(ring)
+
+
+def test_arrivals_of_one_day_are_numbered_in_order(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") % 10).alias("ts"))
+    got = log.number_arrivals(df).collect()
+    assert [x.id for x in sorted(got, key=lambda x: x.age)] == sorted(range(1000), key=lambda i: (i % 10, i)) and {x.age for x in got} == set(range(1, 1001))
+
+
+def test_only_selects_are_run(spark):
+    df = spark.range(3)
+    assert log.readonly_sql(spark, "select 'drop; table' as x, id from {t} -- delete\n;", t=df).count() == 3
+    for bad in ("with x as (select 1) insert into y select * from x", "select 1; drop table x", "selection"):
+        with pytest.raises(ValueError):
+            log.readonly_sql(spark, bad)
+
+
 def test_bloom_has_no_false_negatives(spark):
     values = spark.range(500).select(F.col("id").alias("v"))
     bits, hashes = bloom.sizes(500, 0.01)

@@ -47,10 +47,71 @@ def splice(text: Column, start: int, delete: int, new: str) -> Column:
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the longest common prefix."""
-    n = F.least(F.length(a), F.length(b))
-    differs = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
-    return F.when(n == 0, 0).otherwise(F.coalesce(F.get(differs, F.lit(0)) - 1, n))
+    """Length of the longest common prefix: the length compared is halved until it is found, in 32 steps."""
+    start = F.struct(F.lit(0).alias("low"), F.least(F.length(a), F.length(b)).alias("high"))
+
+    def halve(acc, _):
+        middle = ((acc["low"] + acc["high"] + 1) / 2).cast("int")
+        same = F.substring(a, acc["low"] + 1, middle - acc["low"]) == F.substring(b, acc["low"] + 1, middle - acc["low"])
+        return F.struct(F.when(same, middle).otherwise(acc["low"]).alias("low"), F.when(same, acc["high"]).otherwise(middle - 1).alias("high"))
+
+    steps = F.array(*[F.lit(k) for k in range(32)])
+    return F.aggregate(steps, start, lambda acc, k: F.when(acc["low"] < acc["high"], halve(acc, k)).otherwise(acc), lambda acc: acc["low"])
+
+
+def common_suffix(a: Column, b: Column) -> Column:
+    """Length of the longest common suffix."""
+    return common_prefix(F.reverse(a), F.reverse(b))
+
+
+def append_component(path: Column, name: Column) -> Column:
+    """A path with one more part, with one slash between them (ST6)."""
+    return F.when(path == "", name).otherwise(F.concat(F.rtrim(path, F.lit("/")), F.lit("/"), F.ltrim(name, F.lit("/"))))
+
+
+def compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 by code points (ST11)."""
+    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
+
+
+def number_of(value: Column, seed: int) -> Column:
+    """A 32-bit number of a value and a seed, alike in every engine that has MD5."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), value.cast("string"))), 1, 8), 16, 10).cast("long")
+
+
+def checksum(fields: dict[str, Column]) -> Column:
+    """MD5 of a document's fields in the order of their names; a field is told from an absent one and from any other split."""
+    parts = []
+    for name in sorted(fields):
+        value = fields[name].cast("string")
+        parts.append(F.coalesce(F.concat(F.lit(f"{name}:"), F.length(value).cast("string"), F.lit(":"), value, F.lit(";")), F.lit(f"{name};")))
+    return F.md5(F.concat(*parts))
+
+
+def rendezvous(peer: Column, key: Column) -> Column:
+    """Of a group's peers the one with the least hash of peer and key."""
+    return F.min_by(peer, F.struct(F.md5(F.concat_ws("/", peer, key.cast("string"))), peer))
+
+
+# File paths
+def dirname(path: Column) -> Column:
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
+def basename(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]*)$", 1)
+
+
+def extname(path: Column) -> Column:
+    """With its dot; empty without one or if the name only begins with one."""
+    return F.regexp_extract(basename(path), r"^.+(\.[^.]*)$", 1)
+
+
+# Arrays (L6)
+def insertion_point(sorted_values: Column, x: Column) -> Column:
+    """How many values of a sorted array are smaller; -1 if all are, or if there are none."""
+    n = F.size(F.filter(sorted_values, lambda v: v < x))
+    return F.when(n == F.size(sorted_values), -1).otherwise(n)
 
 
 def is_rtl(text: Column) -> Column:

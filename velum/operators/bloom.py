@@ -19,7 +19,9 @@ def sync_rate(n: int, cycles: int = 3) -> float:
 
 
 def positions(value: Column, bits: int, hashes: int, seed: int = 0) -> Column:
-    return F.array(*[F.pmod(F.xxhash64(value.cast("string"), F.lit(seed * 64 + k)), F.lit(bits)) for k in range(hashes)])
+    """A value's bits: each MD5 of a number and the value gives four."""
+    digests = [F.md5(F.concat(F.lit(f"{seed * 64 + k}/"), value.cast("string"))) for k in range(-(-hashes // 4))]
+    return F.array(*[F.conv(F.substring(digests[k // 4], k % 4 * 8 + 1, 8), 16, 10).cast("long") % bits for k in range(hashes)])
 
 
 def fill(values: DataFrame, column: str, bits: int, hashes: int, seed: int = 0) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from velum.functions.columns import rendezvous
+from velum.sources.log import written
+
 
 def newest_first() -> list[Column]:
     return [F.desc("ts"), F.desc("id")]
@@ -52,36 +55,82 @@ def with_parent(commits: DataFrame, columns: list[str]) -> DataFrame:
     return commits.join(other, "parent")
 
 
-def depths(commits: DataFrame, max_depth: int = 10_000) -> DataFrame:
-    """``(id, key, depth)``, a root having depth 0, by joining one generation to the next.
+def _jumped(jump: DataFrame, most: int, advance) -> DataFrame:
+    """``jump(id, up, ...)`` with every ``up`` followed to its end: jumps double in each round, so n generations take log n joins.
+
+    Each round is written to the shared folder. A chain that is longer than the
+    table is a cycle, which is an error.
+    """
+    jump = written(jump, "jumps")
+    reach = 1
+    while not jump.filter("up is not null").isEmpty():
+        if reach > 2 * most:
+            raise ValueError("the parents form a cycle")
+        jump = written(advance(jump), "jumps")
+        reach *= 2
+    return jump
+
+
+def depths(commits: DataFrame) -> DataFrame:
+    """``(id, key, depth)``, a root having depth 0; a parent that isn't in the table counts as a root's child."""
+    jump = commits.select("id", "key", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+
+    def advance(now: DataFrame) -> DataFrame:
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
+        return now.join(above, "up", "left").select("id", "key", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+
+    return _jumped(jump, commits.count(), advance).select("id", "key", "depth")
+
+
+def nearest(commits: DataFrame, good: Column) -> DataFrame:
+    """``(id, found)``: each commit itself if it is ``good``, else its nearest ancestor that is, null if none is."""
+    marked = commits.select("id", F.when(~F.coalesce(good, F.lit(False)), F.col("parent")).alias("up"), F.when(good, F.col("id")).alias("found"))
+
+    def advance(now: DataFrame) -> DataFrame:
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("found").alias("found2"))
+        return now.join(above, "up", "left").select("id", F.col("up2").alias("up"), F.coalesce("found", "found2").alias("found"))
+
+    return _jumped(marked, commits.count(), advance).select("id", "found")
+
+
+def common_ancestor(spark: SparkSession, commits: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The nearest common ancestor of each ``(key, a, b)`` with one.
 
-    Ancestors are doubled in each round instead, so that n generations take log n joins.
+    Jumps of 1, 2, 4 and so on generations are tables; both sides are brought to
+    the same depth and then up together, the longest jumps first. So rows never
+    grow beyond the pairs and the joins are log of the depth.
     """
-    spark = commits.sparkSession
-    jump = commits.select("id", "key", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
-    for _ in range(max_depth.bit_length()):
-        jump = jump.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else jump.persist()
-        if jump.filter("up is not null").isEmpty():
-            break
-        above = jump.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        jump = jump.join(above, "up", "left").select("id", "key", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-    return jump.select("id", "key", F.col("depth").cast("long").alias("depth"))
-
-
-def ancestors(spark, commits: DataFrame, start: DataFrame, levels: int = 100_000) -> DataFrame:
-    """``(start, id)``: each start commit and all its ancestors, by a recursive query."""
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(levels))
-    return spark.sql(
-        "WITH RECURSIVE a(start, id) AS (SELECT id, id FROM {start} UNION ALL SELECT a.start, e.parent FROM a JOIN {edges} e ON a.id = e.child) SELECT start, id FROM a",
-        start=start.select("id"),
-        edges=edges(commits),
-    )
-
-
-def common_ancestor(spark, commits: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The newest common ancestor of each ``(key, a, b)``."""
-    up = ancestors(spark, commits, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    left = pairs.join(up.select(F.col("start").alias("a"), "id"), "a")
-    both = left.join(up.select(F.col("start").alias("b"), "id"), ["b", "id"])
-    timed = both.join(commits.select("id", "ts"), "id")
-    return timed.groupBy("key", "a", "b").agg(F.max_by("id", F.struct("ts", "id")).alias("base"))
+    deep = written(depths(commits), "depths")
+    deepest = deep.agg(F.max("depth")).first()[0] or 0
+    jumps = [written(commits.filter("parent is not null").select("id", F.col("parent").alias("up")), "jumps")]
+    while 1 << len(jumps) <= deepest:
+        last = jumps[-1]
+        jumps.append(written(last.join(last.toDF("up", "up2"), "up").select("id", F.col("up2").alias("up")), "jumps"))
+    of = lambda name: deep.select(F.col("id").alias(name), F.col("depth").alias(f"d{name}"))
+    now = pairs.select("key", "a", "b", F.col("a").alias("x"), F.col("b").alias("y")).join(of("x"), "x").join(of("y"), "y")
+    now = now.select("key", "a", "b", *[F.when(F.col("dx") >= F.col("dy"), F.col(p)).otherwise(F.col(q)).alias(r) for p, q, r in (("x", "y", "x"), ("y", "x", "y"))], F.abs(F.col("dx") - F.col("dy")).alias("gap"))
+    for k in range(len(jumps) - 1, -1, -1):
+        moved = now.join(jumps[k].toDF("x", "x2"), "x", "left")
+        now = written(moved.withColumn("x", F.when(F.col("gap").bitwiseAND(F.lit(1 << k)) != 0, F.col("x2")).otherwise(F.col("x"))).select("key", "a", "b", "x", "y", "gap"), "pairs")
+    for k in range(len(jumps) - 1, -1, -1):
+        moved = now.join(jumps[k].toDF("x", "x2"), "x", "left").join(jumps[k].toDF("y", "y2"), "y", "left")
+        apart = ~F.col("x2").eqNullSafe(F.col("y2"))
+        now = written(moved.select("key", "a", "b", F.when(apart, F.col("x2")).otherwise(F.col("x")).alias("x"), F.when(apart, F.col("y2")).otherwise(F.col("y")).alias("y")), "pairs")
+    above = now.join(jumps[0].toDF("x", "up"), "x", "left").join(jumps[0].toDF("y", "up2"), "y", "left")
+    base = F.when(F.col("x") == F.col("y"), F.col("x")).when(F.col("up") == F.col("up2"), F.col("up"))
+    return above.select("key", "a", "b", base.alias("base")).filter("base is not null")
+
+
+def revert_connection(commits: DataFrame, connections: list) -> DataFrame:
+    """``(key, id)``: each key's head, or where a given connection made it the newest older commit of another one."""
+    now = heads(commits).select("key", F.col("id").alias("head"), F.col("ts").alias("head_ts"), F.col("connection").isin(connections).alias("theirs"))
+    older = commits.filter(~F.col("connection").isin(connections)).join(now.filter("theirs"), "key").filter("ts < head_ts")
+    found = older.groupBy("key").agg(F.max_by("id", F.struct("ts", "id")).alias("found"))
+    return now.join(found, "key", "left").select("key", F.when(F.col("theirs"), F.col("found")).otherwise(F.col("head")).alias("id")).filter("id is not null")
+
+
+def merge_leader(leaves_: DataFrame, within: Column) -> DataFrame:
+    """``(key, leader)``: of the connections whose leaf is no older than ``within`` before the newest, the one that rendezvous hashing picks."""
+    newest = leaves_.groupBy("key").agg(F.max("ts").alias("newest"))
+    fresh = leaves_.join(newest, "key").filter(F.col("ts") >= F.col("newest") - within)
+    return fresh.select("key", F.col("connection").cast("string").alias("peer")).distinct().groupBy("key").agg(rendezvous(F.col("peer"), F.col("key")).alias("leader"))

@@ -43,3 +43,34 @@ def changed_names(pairs: dict[str, tuple[Column, Column]]) -> Column:
 def patch_value(current: Column, removed: Column, added: Column) -> Column:
     """Set what was added; remove only what still stands as it was (DC6, DC10)."""
     return F.when(added.isNotNull(), added).when(current.eqNullSafe(removed), F.lit(None)).otherwise(current)
+
+
+def set_diff(before: Column, after: Column) -> Column:
+    """struct<removed, added> of two sets (DC11)."""
+    return F.struct(F.array_except(before, after).alias("removed"), F.array_except(after, before).alias("added"))
+
+
+def set_patch(current: Column, diff: Column) -> Column:
+    return F.array_union(F.array_except(current, diff["removed"]), diff["added"])
+
+
+def map_diff(before: Column, after: Column) -> Column:
+    """struct<removed, added> of two maps: entries that are new or other, and those that are gone (DC12)."""
+    added = F.map_filter(after, lambda k, v: ~F.try_element_at(before, k).eqNullSafe(v))
+    removed = F.map_filter(before, lambda k, v: ~F.map_contains_key(after, k))
+    return F.struct(removed.alias("removed"), added.alias("added"))
+
+
+def map_patch(current: Column, diff: Column) -> Column:
+    """Entries are set; one is removed only if it still stands as it was."""
+    kept = F.map_filter(current, lambda k, v: ~F.map_contains_key(diff["added"], k) & ~F.coalesce(F.map_contains_key(diff["removed"], k) & F.try_element_at(diff["removed"], k).eqNullSafe(v), F.lit(False)))
+    return F.map_concat(kept, diff["added"])
+
+
+def merge_maps(base: Column, *sides: Column) -> Column:
+    """``merge_value`` for every key (A12, G9); sides from oldest to newest."""
+    keys = F.map_keys(base)
+    for s in sides:
+        keys = F.array_union(keys, F.map_keys(s))
+    entries = F.transform(keys, lambda k: F.struct(k.alias("key"), merge_value(F.try_element_at(base, k), *[F.try_element_at(s, k) for s in sides]).alias("value")))
+    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))

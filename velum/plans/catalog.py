@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from velum.functions import columns as fn
-from velum.operators import bloom, graph, merge
+from velum.operators import auth, bloom, graph, merge, stats
 from velum.operators.query import Query
 
 from velum.plans.relations import Tables, with_relations
@@ -34,6 +35,10 @@ def query(sql: str | None = None, *relations: str, recursive: bool = False, name
 
 
 
+#: A 32-bit number of a value and a seed, as ``fn.number_of``.
+_MD5 = "CAST('0x' || substr(md5('{seed}/' || {x}), 1, 8) AS BIGINT)"
+
+
 # --- Scans and sinks ---------------------------------------------------------------
 
 
@@ -99,9 +104,9 @@ def age_for_key(t):
     return t.aged.groupBy("key").agg(F.max("age").alias("age"))
 
 
-@query()
+@query(f"SELECT event_id, event_type FROM events WHERE {_MD5.format(x='event_id', seed=7)} % 10 = 0")
 def log_sample(t):
-    return t.events.sample(0.1, seed=7).select("event_id", "event_type")
+    return log.sample(t.events, "event_id", 10, seed=7).select("event_id", "event_type")
 
 
 @query("SELECT event_id, CAST(event_id % 6 AS BIGINT) AS severity FROM events WHERE event_id % 6 >= 4")
@@ -162,9 +167,9 @@ def query_entries(t):
     return Query(t.i, schema="5-LOW").entries().select("path", col("item.o_custkey").alias("item_custkey"), col("item.o_totalprice").alias("item_price"))
 
 
-@query("SELECT '/data/orders/' || o_orderkey AS path, o_orderstatus <> 'F' AND o_totalprice > 100000 AS has FROM orders WHERE o_orderkey % 10 = 0")
+@query("SELECT '/data/orders/' || o_orderkey AS path, o_orderstatus <> 'F' AND o_totalprice > 100000 AS has FROM orders")
 def query_has(t):
-    return Query(t.i, col("o_totalprice") > 100000).has(t.i.filter("o_orderkey % 10 = 0").select("path"))
+    return Query(t.i, col("o_totalprice") > 100000).has(t.i.select("path"))
 
 
 @query("SELECT path, o_custkey FROM i WHERE NOT is_deleted AND o_custkey = (SELECT min(o_custkey) FROM i WHERE NOT is_deleted) ORDER BY age, path LIMIT 1", "i")
@@ -178,6 +183,33 @@ def find_by_other_field(t):
     return Query(t.i, sort_by="o_totalprice").find("o_orderstatus", "O").select("path", "o_orderstatus")
 
 
+_REPO = "CASE c_custkey % 6 WHEN 0 THEN '/sys/sessions' WHEN 1 THEN '/sys/stats' WHEN 2 THEN '/sys/keys' WHEN 3 THEN '/user/' || c_nationkey WHEN 4 THEN '/data/open' ELSE '/data/' || c_nationkey END"
+
+
+def _repos(t):
+    return t.customer.select("c_custkey", "c_nationkey", F.expr(_REPO).alias("repo"))
+
+
+@query(f"SELECT c_custkey, repo FROM (SELECT c_custkey, c_nationkey, {_REPO} AS repo FROM customer) WHERE repo IN ('/sys/sessions', '/user/7', '/data/open') OR (repo LIKE '/data/%' AND c_nationkey < 5)")
+def auth_rules(t):
+    """What user 7 may read: built-in rules, an exact path and a pattern with a rule on rows."""
+    rules = auth.AuthRules().register("/data/open", lambda user: lit(True)).register(re.compile("^/data/.*$"), lambda user: col("c_nationkey") < 5)
+    return _repos(t).filter(rules.readable(col("repo"), user="7")).select("c_custkey", "repo")
+
+
+@query(f"SELECT c_custkey, {_REPO} AS repo FROM customer WHERE c_custkey % 6 <= 2")
+def auth_root(t):
+    """The root user reads all system repositories, and nothing that has no rule."""
+    repos = _repos(t)
+    return repos.filter(col("repo").startswith("/sys/") & auth.AuthRules().readable(col("repo"), user="root", root="root")).select("c_custkey", "repo")
+
+
+@query("SELECT event_id FROM events WHERE event_id % 4 = 0 OR event_id % 4 = 2")
+def org_filter(t):
+    e = t.events.select("event_id", F.when(col("event_id") % 4 != 0, F.concat(lit("org"), (col("event_id") % 4).cast("string"))).alias("org"))
+    return e.filter(auth.of_org(col("org"), "org2")).select("event_id")
+
+
 @query("SELECT c_custkey, c_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 OR c_custkey % 50 = 0")
 def auth_row_filter(t):
     allowed = t.nation.filter("n_regionkey = 1").select(col("n_nationkey").alias("c_nationkey"), lit(True).alias("rule"))
@@ -318,13 +350,9 @@ def avg_zero_default(t):
 
 
 @query("""SELECT l_shipmode_ AS suite, round(avg(x), 4) AS mean, min(x) AS least, max(x) AS most, round(stddev_pop(x), 4) AS sd, list_sort(list(x))[CAST(floor(count(*) * 0.95) AS BIGINT) + 1] AS p95,
-    list_sort(list(x))[CAST(floor(count(*) * 0.99) AS BIGINT) + 1] AS p99, count(*) AS n FROM (SELECT l_suppkey AS l_shipmode_, l_extendedprice AS x FROM lineitem) GROUP BY 1""")
+    list_sort(list(x))[CAST(floor(count(*) * 0.99) AS BIGINT) + 1] AS p99, round(1000 / avg(x), 6) AS throughput, count(*) AS n FROM (SELECT l_suppkey AS l_shipmode_, l_extendedprice AS x FROM lineitem) GROUP BY 1""")
 def latency_stats(t):
-    """Order statistics by rank within the group, so that no group is gathered."""
-    x = t.lineitem.select(col("l_suppkey").alias("suite"), col("l_extendedprice").alias("x"))
-    ranked = x.withColumns({"r": F.row_number().over(W.partitionBy("suite").orderBy("x")), "n": F.count("*").over(W.partitionBy("suite"))})
-    at = lambda q: F.max(F.when(col("r") == F.least(col("n"), F.floor(col("n") * q) + 1), col("x")))
-    return ranked.groupBy("suite").agg(F.round(F.avg("x"), 4).alias("mean"), F.min("x").alias("least"), F.max("x").alias("most"), F.round(F.stddev_pop("x"), 4).alias("sd"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.count("*").alias("n"))
+    return stats.latency(t.lineitem, "l_suppkey", "l_extendedprice", "suite")
 
 
 @query("SELECT l_returnflag, round(sum(l_extendedprice) / sum(l_quantity), 6) AS per_unit, count(*) AS n FROM lineitem GROUP BY l_returnflag")
@@ -360,16 +388,22 @@ def merge_set(t):
     return t.k.select("id", merge.merge_sets(col("base"), col("a"), col("b")).alias("merged"))
 
 
-@query()
+@query(
+    """WITH h AS (SELECT event_id FROM events WHERE event_id % 3 <> 0), s AS (SELECT CAST(ceil(count(*) * ln(0.01) / ln(1 / pow(2, ln(2)))) AS BIGINT) AS bits FROM h),
+    p AS (SELECT DISTINCT CAST('0x' || substr(md5((k // 4) || '/' || event_id), (k % 4) * 8 + 1, 8) AS BIGINT) % bits AS b, bits FROM h, s, range(7) r(k)) SELECT count(*) / max(bits) AS fill_rate FROM p"""
+)
 def bloom_fill(t):
     held = t.events.filter("event_id % 3 <> 0")
     bits, hashes = bloom.sizes(max(1, held.count()), 0.01)
     return bloom.fill_rate(bloom.fill(held, "event_id", bits, hashes), bits)
 
 
-@query()
+_FIELD = "coalesce('{n}:' || length(CAST({n} AS VARCHAR)) || ':' || {n} || ';', '{n};')"
+
+
+@query(f"SELECT doc_id, md5({' || '.join(_FIELD.format(n=n) for n in ('lang', 'n_chars', 'source', 'text'))}) AS checksum FROM documents")
 def doc_checksum(t):
-    return t.documents.select("doc_id", F.xxhash64(F.to_json(F.struct("lang", "n_chars", "source", "text"))).alias("checksum"))
+    return t.documents.select("doc_id", fn.checksum({n: col(n) for n in ("text", "source", "lang", "n_chars")}).alias("checksum"))
 
 
 @query("SELECT doc_id, md5(text) AS checksum FROM documents")
@@ -392,6 +426,11 @@ def success_rate(t):
     return t.events.agg(F.round(F.avg("value"), 6).alias("mean"), F.round(100.0 * F.count_if(col("event_type") != "error") / F.count("*"), 6).alias("success"))
 
 
+@query("SELECT id, CASE WHEN len(list_filter(a, lambda x: x < 100)) = len(a) THEN -1 ELSE len(list_filter(a, lambda x: x < 100)) END::INT AS at, a[1] AS some, CAST(len(a) AS INT) AS n FROM k", "k")
+def array_bsearch(t):
+    return t.k.select("id", fn.insertion_point(col("a"), lit(100)).alias("at"), F.try_element_at("a", lit(1)).alias("some"), F.size("a").alias("n"))
+
+
 @query("SELECT DISTINCT user_id AS key, event_type AS session FROM events")
 def distinct_keys(t):
     return t.c.select("key", "session").distinct()
@@ -458,15 +497,20 @@ def limit_insertion_order(t):
     return Query(t.i, limit=25).paths()
 
 
-@query()
+@query("SELECT key, arg_min(peer, (md5(peer || '/' || key), peer)) AS leader FROM (SELECT DISTINCT user_id AS key, CAST(event_id % 4 AS VARCHAR) AS peer FROM events) GROUP BY key")
 def rendezvous_leader(t):
     peers = t.c.select("key", col("connection").cast("string").alias("peer")).distinct()
-    return peers.groupBy("key").agg(F.min_by("peer", F.struct(F.xxhash64(F.concat_ws("/", "peer", col("key").cast("string"))), col("peer"))).alias("leader"))
+    return peers.groupBy("key").agg(fn.rendezvous(col("peer"), col("key")).alias("leader"))
+
+
+@query("""SELECT key, arg_min(peer, (md5(peer || '/' || key), peer)) AS leader FROM (SELECT key, CAST(connection AS VARCHAR) AS peer FROM (SELECT *, max(ts) OVER (PARTITION BY key) AS newest FROM lv) WHERE ts >= newest - INTERVAL 6 HOUR) GROUP BY key""", "lv")
+def merge_leader(t):
+    return graph.merge_leader(graph.leaves(t.c), F.expr("INTERVAL 6 HOURS"))
 
 
-@query()
+@query("SELECT o_orderkey FROM orders ORDER BY md5('7/' || o_orderkey), o_orderkey")
 def shuffle(t):
-    return t.orders.select("o_orderkey").orderBy(F.xxhash64(lit(7), "o_orderkey"))
+    return t.orders.select("o_orderkey").orderBy(F.md5(F.concat(lit("7/"), col("o_orderkey").cast("string"))), "o_orderkey")
 
 
 @query("SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey")

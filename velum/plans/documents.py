@@ -36,15 +36,35 @@ def str_splice(t):
     return t.documents.select("doc_id", fn.splice(col("text"), 3, 2, "--").alias("s"))
 
 
-@query()
+@query(
+    """SELECT p_partkey, CAST(len(list_filter(range(1, length(a) + 1), lambda i: i <= length(b) AND substr(a, 1, i) = substr(b, 1, i))) AS INT) AS n,
+    CAST(len(list_filter(range(1, length(a) + 1), lambda i: i <= length(b) AND right(a, i) = right(b, i))) AS INT) AS m, CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END AS o
+    FROM (SELECT p_partkey, p_name AS a, coalesce(lag(p_name) OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey), '') AS b FROM part)"""
+)
 def str_common_prefix(t):
-    d = t.part.select("p_partkey", "p_name", F.lag("p_name").over(W.partitionBy("p_brand").orderBy("p_name", "p_partkey")).alias("other"))
-    return d.select("p_partkey", fn.common_prefix(col("p_name"), F.coalesce("other", lit(""))).alias("n"))
+    d = t.part.select("p_partkey", col("p_name").alias("a"), F.coalesce(F.lag("p_name").over(W.partitionBy("p_brand").orderBy("p_name", "p_partkey")), lit("")).alias("b"))
+    return d.select("p_partkey", fn.common_prefix(col("a"), col("b")).alias("n"), fn.common_suffix(col("a"), col("b")).alias("m"), fn.compare(col("a"), col("b")).alias("o"))
 
 
-@query()
+@query(r"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN TRUE WHEN doc_id % 3 = 1 THEN NOT regexp_matches(text, '[A-Za-z\x{C0}-\x{2B8}\x{370}-\x{590}\x{900}-\x{1FFF}]') ELSE FALSE END AS rtl FROM documents WHERE text IS NOT NULL")
 def str_is_rtl(t):
-    return t.documents.select("doc_id", fn.is_rtl(col("text")).alias("rtl"))
+    """A third of the texts has Hebrew before it, a third behind it, a third begins with a Latin letter."""
+    word, kind = lit("\u05e9\u05dc\u05d5\u05dd"), col("doc_id") % 3
+    text = F.when(kind == 0, F.concat(word, lit(" "), "text")).when(kind == 1, F.concat("text", lit(" "), word)).otherwise(F.concat(lit("a "), "text"))
+    return t.documents.filter("text is not null").select("doc_id", fn.is_rtl(text).alias("rtl"))
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(url, '([^/]*)$', 1) AS base, regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^.+(\.[^.]*)$', 1) AS ext,
+    rtrim(url, '/') || '/x.html' AS longer FROM pages""")
+def file_path_functions(t):
+    u = col("url")
+    return t.pages.select("page_id", fn.dirname(u).alias("dir"), fn.basename(u).alias("base"), fn.extname(u).alias("ext"), fn.append_component(u, lit("/x.html")).alias("longer"))
+
+
+@query("SELECT event_id, len(json_keys(props)) AS n, json_keys(props)[1] AS first FROM events")
+def json_keys(t):
+    keys = F.json_object_keys("props")
+    return t.events.select("event_id", F.size(keys).cast("long").alias("n"), F.get(keys, lit(0)).alias("first"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE lower(replace(c_name, '#', '.')) || '@example.com' END AS email FROM customer")
@@ -196,10 +216,35 @@ def doc_equal(t):
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN CAST(json_extract_string(props, '$.k') AS INT) + 1 ELSE CAST(json_extract_string(props, '$.k') AS INT) END AS k FROM events")
 def map_diff_patch(t):
     m = F.from_json("props", "map<string,int>")
-    upserts = F.when(col("event_id") % 3 == 1, F.transform_values(m, lambda k, v: v + 1)).otherwise(F.create_map().cast("map<string,int>"))
-    deletes = F.when(col("event_id") % 3 == 0, m).otherwise(F.create_map().cast("map<string,int>"))
-    kept = F.map_filter(m, lambda k, v: ~F.map_contains_key(upserts, k) & ~F.try_element_at(deletes, k).eqNullSafe(v))
-    return t.events.select("event_id", F.try_element_at(F.map_concat(kept, upserts), lit("k")).alias("k"))
+    changed = F.when(col("event_id") % 3 == 0, F.create_map().cast("map<string,int>")).when(col("event_id") % 3 == 1, F.transform_values(m, lambda k, v: v + 1)).otherwise(m)
+    return t.events.select("event_id", F.try_element_at(merge.map_patch(m, merge.map_diff(m, changed)), lit("k")).alias("k"))
+
+
+def _kmap(x, step):
+    return f"SELECT id, x AS k, x + {step} * ((x + {len(x)}) % 2) AS v FROM (SELECT id, unnest({x}) AS x FROM k)"
+
+
+@query(
+    f"""WITH o AS ({_kmap('base', 0)}), p AS ({_kmap('a', 1000)}), q AS ({_kmap('b', 1000)}),
+    e AS (SELECT id, k, o.v AS o, p.v AS p, q.v AS q FROM o FULL JOIN p USING (id, k) FULL JOIN q USING (id, k)),
+    m AS (SELECT id, k, CASE WHEN q IS NOT NULL AND q IS DISTINCT FROM o THEN q WHEN p IS NOT NULL AND p IS DISTINCT FROM o THEN p WHEN p IS NOT NULL AND q IS NOT NULL THEN o END AS v FROM e)
+    SELECT k.id, coalesce(string_agg(m.k || ':' || m.v, ',' ORDER BY m.k), '') AS merged FROM k LEFT JOIN m ON m.id = k.id AND m.v IS NOT NULL GROUP BY k.id""",
+    "k",
+)
+def merge_map(t):
+    """Maps that share a base are merged key by key: the newest change to a value wins, and a removal counts where no side set one."""
+    made = lambda c, step: F.map_from_entries(F.transform(c, lambda x: F.struct(x.alias("key"), (x + step * ((x + len(c)) % 2)).alias("value"))))
+    merged = merge.merge_maps(made("base", 0), made("a", 1000), made("b", 1000))
+    pairs = F.transform(F.array_sort(F.map_entries(merged)), lambda e: F.concat_ws(":", e["key"], e["value"]))
+    return t.k.select("id", F.array_join(pairs, ",").alias("merged"))
+
+
+@query("SELECT id, list_sort(list_filter(b, lambda x: NOT list_contains(base, x) OR list_contains(a, x))) AS patched0, list_sort(list_distinct(list_concat(list_filter(b, lambda x: NOT (list_contains(base, x) AND NOT list_contains(a, x))), list_filter(a, lambda x: NOT list_contains(base, x))))) AS patched FROM k", "k")
+def set_diff_patch(t):
+    """What changed from the base to one side, applied to the other side."""
+    d = merge.set_diff(col("base"), col("a"))
+    removed = F.sort_array(F.array_except("b", d["removed"]))
+    return t.k.select("id", removed.alias("patched0"), F.sort_array(merge.set_patch(col("b"), d)).alias("patched"))
 
 
 @query("SELECT id, list_sort(list_distinct(list_transform(a, lambda x: CASE WHEN x % 10 = 0 THEN x + 1 ELSE x END))) AS refs FROM k", "k")
@@ -222,9 +267,27 @@ def corruption_check(t):
     return t.documents.select("doc_id", (stored != F.md5("text")).alias("corrupted"))
 
 
-@query("SELECT key, arg_max(id, (ts, id)) AS id FROM c WHERE id % 7 <> 0 GROUP BY key", "c")
+@query(
+    """WITH w(id, up) AS (SELECT id, id FROM c UNION ALL SELECT w.id, c.parent FROM w JOIN c ON w.up = c.id WHERE c.id % 7 = 0 AND c.parent IS NOT NULL)
+    SELECT c.id, g.up AS found FROM c LEFT JOIN (SELECT id, up FROM w WHERE up % 7 <> 0) g ON g.id = c.id""",
+    "c",
+    recursive=True,
+)
 def latest_good_commit(t):
-    return graph.latest(t.c.filter("id % 7 <> 0")).select("key", "id")
+    """Every commit, or where it is corrupt its nearest ancestor that isn't."""
+    return graph.nearest(t.c, col("id") % 7 != 0)
+
+
+@query(
+    """WITH h AS (SELECT key, arg_max(id, (ts, id)) AS id FROM lv GROUP BY key), w(id, up) AS (SELECT id, id FROM h UNION ALL SELECT w.id, c.parent FROM w JOIN c ON w.up = c.id WHERE c.id % 7 = 0 AND c.parent IS NOT NULL)
+    SELECT h.key, h.id, c.value FROM h LEFT JOIN w ON w.id = h.id AND w.up % 7 <> 0 LEFT JOIN c ON c.id = w.up""",
+    "lv",
+    recursive=True,
+)
+def value_at_commit(t):
+    """The value at each key's head, that of the nearest good ancestor where the head is corrupt."""
+    good = graph.nearest(t.c, col("id") % 7 != 0)
+    return graph.heads(t.c).select("key", "id").join(good, "id").join(t.c.select(col("id").alias("found"), "value"), "found", "left").select("key", "id", "value")
 
 
 @query("SELECT key, count(*) AS leaves FROM lv GROUP BY key HAVING count(*) > 1", "lv")
@@ -270,9 +333,13 @@ def as_of_timestamp(t):
     return graph.as_of(t.c, F.expr("TIMESTAMP_NTZ '2024-01-10 00:00:00'")).select("key", "id")
 
 
-@query("SELECT key, arg_max(id, (ts, id)) AS id FROM c WHERE connection <> 1 GROUP BY key", "c")
+@query(
+    """SELECT key, id FROM (SELECT h.key, CASE WHEN h.connection = 1 THEN arg_max(c.id, (c.ts, c.id)) FILTER (c.connection <> 1 AND c.ts < h.ts) ELSE h.id END AS id
+    FROM (SELECT key, arg_max(id, (ts, id)) AS id, arg_max(connection, (ts, id)) AS connection, max(ts) AS ts FROM lv GROUP BY key) h JOIN c USING (key) GROUP BY h.key, h.id, h.connection, h.ts) WHERE id IS NOT NULL""",
+    "lv",
+)
 def revert_by_connection(t):
-    return graph.latest(t.c.filter("connection <> 1")).select("key", "id")
+    return graph.revert_connection(t.c, [1])
 
 
 @query("SELECT id, coalesce(o.n, 0) AS children, CASE WHEN parent IS NULL THEN 0 ELSE 1 END AS parents FROM c LEFT JOIN (SELECT parent AS p, count(*) AS n FROM c WHERE parent IS NOT NULL GROUP BY 1) o ON o.p = c.id", "c")
@@ -386,7 +453,13 @@ def change_field_filter(t):
     return t.t.filter(F.arrays_overlap(names, F.array(lit("priority"), lit("status")))).select("key")
 
 
-@query()
+@query(
+    """WITH a AS (SELECT event_id AS id FROM events WHERE event_id % 3 <> 0), b AS (SELECT event_id AS id FROM events WHERE event_id % 3 <> 1), n AS (SELECT greatest(1, (SELECT count(*) FROM a), (SELECT count(*) FROM b)) AS n),
+    f AS (SELECT n, least(0.5::DOUBLE, pow(n, -2.0 / 3)) AS p FROM n), s AS (SELECT greatest(8, CAST(ceil(n * ln(p) / ln(1 / pow(2, ln(2)))) AS BIGINT)) AS bits, n FROM f),
+    z AS (SELECT bits, least(8, greatest(1, CAST(round_even(bits / n * ln(2), 0) AS BIGINT))) AS hashes FROM s),
+    h AS (SELECT DISTINCT CAST('0x' || substr(md5((k // 4) || '/' || id), (k % 4) * 8 + 1, 8) AS BIGINT) % bits AS pos FROM b, z, range(8) r(k) WHERE k < hashes)
+    SELECT id FROM (SELECT id, CAST('0x' || substr(md5((k // 4) || '/' || id), (k % 4) * 8 + 1, 8) AS BIGINT) % bits AS pos FROM a, z, range(8) r(k) WHERE k < hashes) x LEFT JOIN h ON h.pos = x.pos GROUP BY id HAVING bool_or(h.pos IS NULL)"""
+)
 def sync_bloom_round(t):
     """What peer A sends in one round: its values that B's filter surely lacks."""
     e = t.events.select(col("event_id").alias("id"))

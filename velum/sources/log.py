@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from velum.functions.columns import number_of
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="velum-")).rstrip("/")
+    """The shared folder of the cluster, ``spark.checkpoint.dir``; a temporary one only where it is unset and all runs on this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (found or tempfile.mkdtemp(prefix="velum-")).rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, which cuts its lineage."""
+    path = f"{scratch_dir(df.sparkSession)}/velum-{name}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sample(entries: DataFrame, id_col: str, one_in: int, seed: int = 0) -> DataFrame:
+    """One in so many entries, by a hash of the id, so that any run takes the same."""
+    return entries.filter(number_of(F.col(id_col), seed) % one_in == 0)
 
 
 def read_json_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -41,14 +60,15 @@ def ingest(existing: DataFrame, entries: DataFrame, namespaces: list[str], ns_co
 def number_arrivals(df: DataFrame, ts: str = "ts", id_col: str = "id", out: str = "age") -> DataFrame:
     """``df`` numbered from 1 in the order of (ts, id), without bringing it into one task.
 
-    Days are counted and added up first; a day's rows are numbered within the day.
+    Rows are dealt out by ranges of (ts, id) and written with their range;
+    ranges are counted and added up, and rows numbered within them.
     """
-    dated = df.withColumn("__day", F.col(ts).cast("date"))
-    days = dated.groupBy("__day").count()
-    before = F.coalesce(F.sum("count").over(W.orderBy("__day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = days.select("__day", before.alias("__before"))
-    number = F.row_number().over(W.partitionBy("__day").orderBy(ts, id_col)) + F.col("__before")
-    return dated.join(offsets, "__day").withColumn(out, number.cast("long")).drop("__day", "__before")
+    ranged = written(df.repartitionByRange(F.asc_nulls_first(ts), F.asc_nulls_first(id_col)).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    offsets = counts.select("__range", before.alias("__before"))
+    number = F.row_number().over(W.partitionBy("__range").orderBy(ts, id_col)) + F.col("__before")
+    return ranged.join(F.broadcast(offsets), "__range").withColumn(out, number.cast("long")).drop("__range", "__before")
 
 
 def commit_log(events: DataFrame) -> DataFrame:
@@ -60,6 +80,7 @@ def commit_log(events: DataFrame) -> DataFrame:
 
 def readonly_sql(spark: SparkSession, statement: str, **views: DataFrame) -> DataFrame:
     """Run one statement that only reads, over the given views."""
-    if not statement.lstrip().lower().startswith(("select", "with")) or ";" in statement.rstrip().rstrip(";"):
+    plain = re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/", " ", statement, flags=re.DOTALL).strip().rstrip(";").lower()
+    if not re.match(r"(?:select|with)\b", plain) or ";" in plain or re.search(r"\b(?:insert|update|delete|merge|create|drop|alter|truncate|set|load|call)\b", plain):
         raise ValueError("only a single SELECT is allowed")
-    return spark.sql(statement.rstrip().rstrip(";"), **views)
+    return spark.sql(statement.strip().rstrip(";"), **views)

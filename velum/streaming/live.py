@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +15,23 @@ class LiveHeads:
 
     A commit may be late or repeated: the one with the greatest (ts, id) stays,
     without a watermark. Each batch joins the table with the keys it touches and
-    writes the next version of it; ``checkpoint`` resumes where a run ended.
+    writes the next version of it, which counts once it is complete. A new
+    instance goes on from the last complete version, and the stream from its
+    checkpoint in the same folder; a batch that is applied twice changes nothing.
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.version = spark, root, 0
+        self.spark, self.root = spark, root.rstrip("/")
+        self.version = max(self._complete(), default=0)
+
+    def _complete(self) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if not files.exists(path):
+            return []
+        found = [s.getPath() for s in files.listStatus(path)]
+        done = self.spark._jvm.org.apache.hadoop.fs.Path
+        return [int(p.getName()[1:]) for p in found if re.fullmatch("v[0-9]+", p.getName()) and files.exists(done(p, "_SUCCESS"))]
 
     def table(self) -> DataFrame | None:
         return self.spark.read.parquet(f"{self.root}/v{self.version}") if self.version else None
@@ -29,11 +41,11 @@ class LiveHeads:
         rows = batch if now is None else now.unionByName(batch)
         rest = [c for c in rows.columns if c != "key"]
         newest = rows.groupBy("key").agg(F.max_by(F.struct(*rest), F.struct("ts", "id")).alias("c")).select("key", "c.*")
-        newest.select(*batch.columns).write.mode("overwrite").parquet(f"{self.root}/v{batch_id + 1}")
-        self.version = batch_id + 1
+        newest.select(*batch.columns).write.mode("overwrite").parquet(f"{self.root}/v{self.version + 1}")
+        self.version += 1
 
     def start(self, stream: DataFrame, checkpoint: str | None = None) -> StreamingQuery:
-        where = checkpoint or f"{self.root}/checkpoint-{uuid.uuid4().hex}"
+        where = checkpoint or f"{self.root}/checkpoint"
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", where).trigger(availableNow=True).start()
 
 
