@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import velum.plans.documents  # noqa: F401
+import velum.plans.values  # noqa: F401
 from velum.plans.catalog import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"

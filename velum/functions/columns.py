@@ -124,6 +124,14 @@ def normalize_email(text: Column) -> Column:
     return F.when(low.rlike(EMAIL), low)
 
 
+# Values (V)
+def json_kind(value: Column) -> Column:
+    """``object``, ``array``, ``string``, ``number``, ``boolean`` or ``null``, by the JSON text or, of other texts, ``string`` (V5)."""
+    kind = F.schema_of_variant(F.try_parse_json(value))
+    named = F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null")
+    return F.when(value.isNull(), "null").otherwise(F.coalesce(named, F.lit("string")))
+
+
 # Dates (D)
 def seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / 1e6
@@ -152,7 +160,31 @@ def day_label(ts: Column, today: Column) -> Column:
     return F.when(gap == 0, "Today").when(gap == 1, "Yesterday").otherwise(F.date_format(ts.cast("date"), "yyyy-MM-dd"))
 
 
+#: Milliseconds of each unit.
+MS = {"second": 1_000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000, "week": 604_800_000}
+
+
+def to_ms(n: Column, unit: str) -> Column:
+    """So many units as milliseconds."""
+    return (n * MS[unit]).cast("long")
+
+
+def reverse_ms(ms: Column) -> Column:
+    """A number that sorts the other way round; applied twice it is the time again."""
+    return F.lit(MAX_MS) - ms
+
+
 # Numbers (MA)
+def random_int(value: Column, low: int, high: int, seed: int) -> Column:
+    """A whole number from ``low`` up to but without ``high``, the same for a value and seed (MA4, L10)."""
+    return F.lit(low) + number_of(value, seed) % (high - low)
+
+
+def agreement_size(n: Column) -> Column:
+    """How many of the newest commits must agree on a leaf: 2 log2(n) / log2(4), rounded up (MA7)."""
+    return F.ceil(2 * F.log2(n) / math.log2(4))
+
+
 def clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 

@@ -93,19 +93,25 @@ def nearest(commits: DataFrame, good: Column) -> DataFrame:
     return _jumped(marked, commits.count(), advance).select("id", "found")
 
 
-def common_ancestor(spark: SparkSession, commits: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The nearest common ancestor of each ``(key, a, b)`` with one.
-
-    Jumps of 1, 2, 4 and so on generations are tables; both sides are brought to
-    the same depth and then up together, the longest jumps first. So rows never
-    grow beyond the pairs and the joins are log of the depth.
-    """
+def jump_index(commits: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Depths, and tables of jumps of 1, 2, 4 and so on generations up to the greatest depth."""
     deep = written(depths(commits), "depths")
     deepest = deep.agg(F.max("depth")).first()[0] or 0
     jumps = [written(commits.filter("parent is not null").select("id", F.col("parent").alias("up")), "jumps")]
     while 1 << len(jumps) <= deepest:
         last = jumps[-1]
         jumps.append(written(last.join(last.toDF("up", "up2"), "up").select("id", F.col("up2").alias("up")), "jumps"))
+    return deep, jumps
+
+
+def common_ancestor(spark: SparkSession, commits: DataFrame, pairs: DataFrame, index: tuple[DataFrame, list[DataFrame]] | None = None) -> DataFrame:
+    """The nearest common ancestor of each ``(key, a, b)`` with one.
+
+    Jumps of 1, 2, 4 and so on generations are tables; both sides are brought to
+    the same depth and then up together, the longest jumps first. So rows never
+    grow beyond the pairs and the joins are log of the depth.
+    """
+    deep, jumps = index or jump_index(commits)
     of = lambda name: deep.select(F.col("id").alias(name), F.col("depth").alias(f"d{name}"))
     now = pairs.select("key", "a", "b", F.col("a").alias("x"), F.col("b").alias("y")).join(of("x"), "x").join(of("y"), "y")
     now = now.select("key", "a", "b", *[F.when(F.col("dx") >= F.col("dy"), F.col(p)).otherwise(F.col(q)).alias(r) for p, q, r in (("x", "y", "x"), ("y", "x", "y"))], F.abs(F.col("dx") - F.col("dy")).alias("gap"))
@@ -134,3 +140,42 @@ def merge_leader(leaves_: DataFrame, within: Column) -> DataFrame:
     newest = leaves_.groupBy("key").agg(F.max("ts").alias("newest"))
     fresh = leaves_.join(newest, "key").filter(F.col("ts") >= F.col("newest") - within)
     return fresh.select("key", F.col("connection").cast("string").alias("peer")).distinct().groupBy("key").agg(rendezvous(F.col("peer"), F.col("key")).alias("leader"))
+
+
+def merge_base(spark: SparkSession, commits: DataFrame, tips: DataFrame) -> DataFrame:
+    """``(key, base)``: the nearest common ancestor of all of a key's ``tips(key, id)``, for keys that have one.
+
+    Tips are folded in pairs, so n of them take log n rounds. A key of one tip has itself.
+    """
+    now = written(tips.select("key", "id").distinct(), "tips")
+    index = jump_index(commits)
+    while not now.groupBy("key").count().filter("count > 1").isEmpty():
+        place = now.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("id")) - 1)
+        pairs = place.groupBy("key", F.floor(F.col("n") / 2).alias("pair")).agg(F.min("id").alias("a"), F.max("id").alias("b"))
+        found = common_ancestor(spark, commits, pairs.filter("a <> b").select("key", "a", "b"), index)
+        met = pairs.join(found, ["key", "a", "b"], "left").select("key", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("base")).alias("id"))
+        apart = met.filter("id is null").select("key").distinct()
+        now = written(met.join(apart, "key", "left_anti").distinct(), "tips")
+    return now.select("key", F.col("id").alias("base"))
+
+
+def merge_tips(spark: SparkSession, commits: DataFrame, fields: list[str], by: str = "connection") -> DataFrame:
+    """``(key, base, tips, *fields)``: the merge of each key's newest leaf of every ``by``, for keys of several.
+
+    A field takes its newest value that differs from the base; where none does, it
+    keeps the base's value unless a tip removed it. Without a common ancestor the
+    base is null and every value counts as set.
+    """
+    newest = leaves(commits).groupBy("key", by).agg(F.max_by(F.struct("id", "ts", *fields), F.struct("ts", "id")).alias("c")).select("key", "c.*")
+    several = newest.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    tips = written(newest.join(several, "key"), "leaves")
+    base = merge_base(spark, commits, tips)
+    values = commits.select(F.col("id").alias("base"), *[F.col(f).alias(f"__base_{f}") for f in fields])
+    sides = tips.join(base, "key", "left").join(values, "base", "left")
+    out = []
+    for f in fields:
+        old = F.col(f"__base_{f}")
+        changed = F.col(f).isNotNull() & ~F.col(f).eqNullSafe(old)
+        newest_change = F.max_by(F.when(changed, F.col(f)), F.when(changed, F.struct("ts", "id")))
+        out.append(F.coalesce(newest_change, F.when(~F.bool_or(F.col(f).isNull()), F.max(old))).alias(f))
+    return sides.groupBy("key").agg(F.max("base").alias("base"), F.count("*").alias("tips"), *out)
