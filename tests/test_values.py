@@ -108,3 +108,20 @@ def test_kinds_of_json(spark):
     kinds = {'{"a":1}': "object", "[1]": "array", "1": "number", "1.5": "number", '"x"': "string", "true": "boolean", "null": "null", "plain": "string"}
     rows = spark.createDataFrame([(k,) for k in kinds], "t string").select("t", fn.json_kind(F.col("t")).alias("k")).collect()
     assert {r.t: r.k for r in rows} == kinds
+
+
+def test_cached_view_goes_on(spark, tmp_path):
+    from velum.streaming.cache import ResultCache, view_changes
+
+    rows = [("a", 1, 1, 60, 1), ("b", 2, 2, 70, 2), ("a", 3, 3, 10, 3), ("c", 4, 1, 99, 4), ("b", 5, 1, 5, 5)]
+    commits = spark.createDataFrame(rows, "key string, id long, ts long, value long, age long")
+    cache, hot = ResultCache(spark, str(tmp_path)), F.col("value") > 50
+    first = cache.view("hot", commits.filter("age <= 2"), hot)
+    assert sorted(r.key for r in first.collect()) == ["a", "b"]
+    again = ResultCache(spark, str(tmp_path))
+    assert again.age("hot") == 2 and again.age("other") is None
+    # b's commit 5 is late, so commit 2 stays its head although the batch holds only commit 5
+    now = again.view("hot", commits, hot)
+    assert sorted((r.key, r.id) for r in now.collect()) == [("b", 2), ("c", 4)]
+    assert again.age("hot") == 5 and again.view("hot", commits, hot).count() == 2
+    assert sorted(map(tuple, view_changes(first.select("key", "id"), now.select("key", "id")).collect())) == [("a", "removed"), ("c", "added")]

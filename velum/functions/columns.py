@@ -231,5 +231,15 @@ def set_equal(a: Column, b: Column) -> Column:
     return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
 
 
+def set_equal_where(a: Column, b: Column, test) -> Column:
+    """Whether both have the same of the elements that pass a test."""
+    return set_equal(F.filter(a, test), F.filter(b, test))
+
+
+def map_equal(a: Column, b: Column) -> Column:
+    """Whether two maps have the same entries, in any order (V6, V7)."""
+    return F.array_sort(F.map_entries(a)).eqNullSafe(F.array_sort(F.map_entries(b)))
+
+
 def toggle(a: Column, x: Column) -> Column:
     return F.sort_array(F.when(F.array_contains(a, x), F.array_remove(a, x)).otherwise(F.array_append(a, x)))

@@ -23,6 +23,13 @@ def leaves(commits: DataFrame) -> DataFrame:
     return commits.join(commits.select(F.col("parent").alias("id")), "id", "left_anti")
 
 
+def neighbours(links: DataFrame, source: str, target: str) -> DataFrame:
+    """``(vertex, neighbour, outgoing)``: each neighbour once in each direction."""
+    out = links.select(F.col(source).alias("vertex"), F.col(target).alias("neighbour"), F.lit(True).alias("outgoing"))
+    back = links.select(F.col(target).alias("vertex"), F.col(source).alias("neighbour"), F.lit(False).alias("outgoing"))
+    return out.unionByName(back).filter("vertex is not null and neighbour is not null").distinct()
+
+
 def roots(commits: DataFrame) -> DataFrame:
     return commits.filter("parent is null")
 

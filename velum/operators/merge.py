@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -74,3 +74,20 @@ def merge_maps(base: Column, *sides: Column) -> Column:
         keys = F.array_union(keys, F.map_keys(s))
     entries = F.transform(keys, lambda k: F.struct(k.alias("key"), merge_value(F.try_element_at(base, k), *[F.try_element_at(s, k) for s in sides]).alias("value")))
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+
+
+def concat_changes(*sets: Column) -> Column:
+    """Sets of changes one after the other as one; null ones count as empty, and null if there are none (DC7)."""
+    joined = F.flatten(F.array_compact(F.array(*sets)))
+    return F.when(F.size(joined) > 0, joined)
+
+
+def rewrite_refs(df: DataFrame, id_col: str, refs: str, mapping: DataFrame) -> DataFrame:
+    """``(id, refs)``: each reference replaced by its ``new`` one in ``mapping(old, new)``, kept where it has none (DC13).
+
+    The mapping may be as large as the table: references are joined as rows.
+    ``old`` must be unique; a set of references stays a set, null stays null.
+    """
+    each = df.select(id_col, F.explode_outer(refs).alias("old")).join(mapping.select("old", "new"), "old", "left")
+    found = each.groupBy(id_col).agg(F.sort_array(F.collect_set(F.coalesce("new", "old"))).alias(refs))
+    return found.join(df.filter(F.col(refs).isNull()).select(F.col(id_col), F.lit(True).alias("__none")), id_col, "left").select(id_col, F.when(F.col("__none").isNull(), F.col(refs)).alias(refs))

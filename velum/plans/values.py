@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from velum.functions import columns as fn
 from velum.functions import orderstamp, text
-from velum.operators import graph, mutations, sync
+from velum.operators import graph, merge, mutations, sync
 from velum.plans.catalog import col, lit, query
+from velum.sources.log import scratch_dir
+from velum.streaming.cache import ResultCache, view_changes
 
 
 # --- Strings ---------------------------------------------------------------------------------
@@ -185,3 +189,54 @@ def sync_converge(t):
     """What the second peer has once both have everything."""
     e = t.events.select(col("event_id").alias("id")).distinct()
     return sync.converge(e.filter("id % 3 <> 0"), e.filter("id % 3 <> 1"), "id")[1]
+
+
+@query("SELECT k.id, coalesce(r.a, []) AS a FROM k LEFT JOIN (SELECT id, list_sort(list(DISTINCT CASE WHEN p_partkey IS NULL THEN x ELSE x + 1000000 END)) AS a FROM (SELECT id, unnest(a) AS x FROM k) LEFT JOIN part ON p_partkey = x AND p_partkey % 10 = 0 GROUP BY id) r USING (id)", "k")
+def rewrite_refs_by_table(t):
+    moved = t.part.filter("p_partkey % 10 = 0").select(col("p_partkey").alias("old"), (col("p_partkey") + 1000000).alias("new"))
+    return merge.rewrite_refs(t.k, "id", "a", moved)
+
+
+@query("SELECT id, CASE WHEN len(list_concat(a, b)) > 0 THEN list_concat(a, b) END AS changes FROM k", "k")
+def concat_changes(t):
+    return t.k.select("id", merge.concat_changes(col("a"), lit(None).cast("array<bigint>"), col("b")).alias("changes"))
+
+
+@query("SELECT id, list_filter(a, lambda x: x % 2 = 0) = list_filter(b, lambda x: x % 2 = 0) AS same FROM k", "k")
+def set_equals_where(t):
+    return t.k.select("id", fn.set_equal_where(col("a"), col("b"), lambda x: x % 2 == 0).alias("same"))
+
+
+@query("SELECT event_id, event_id % 2 = 0 AND props IS NOT NULL OR props IS NULL AS same FROM events")
+def map_equals(t):
+    """Each map with itself in another order, or with one more entry."""
+    m = F.from_json("props", "map<string,string>")
+    other = F.map_concat(F.create_map(lit("__a"), F.when(col("event_id") % 2 == 0, "1").otherwise("2")), m)
+    return t.events.select("event_id", fn.map_equal(F.map_concat(m, F.create_map(lit("__a"), lit("1"))), other).alias("same"))
+
+
+@query("SELECT DISTINCT l_orderkey AS vertex, l_partkey AS neighbour, TRUE AS outgoing FROM lineitem UNION ALL SELECT DISTINCT l_partkey, l_orderkey, FALSE FROM lineitem")
+def neighbours(t):
+    return graph.neighbours(t.lineitem, "l_orderkey", "l_partkey")
+
+
+_NOW = "SELECT key, arg_max(id, (ts, id)) AS id, arg_max(value, (ts, id)) AS value FROM c{0} GROUP BY 1"
+
+
+@query(f"SELECT key, id, value FROM ({_NOW.format('')}) WHERE value > 50", "c")
+def cached_view(t):
+    """A view stored as of the first commits, then brought up to date from where it stood."""
+    commits = t.aged.select("key", "id", "ts", "value", "age")
+    cache = ResultCache(t.spark, f"{scratch_dir(t.spark)}/velum-cache/{uuid.uuid4().hex}")
+    cache.view("hot", commits.filter("age <= 500"), col("value") > 50)
+    return cache.view("hot", commits, col("value") > 50).select("key", "id", "value")
+
+
+@query(
+    f"""WITH b AS (SELECT * FROM ({_NOW.format(' WHERE age <= 500')}) WHERE value > 50), a AS (SELECT * FROM ({_NOW.format('')}) WHERE value > 50)
+    SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'added' WHEN a.key IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.key = b.key WHERE b.key IS NULL OR a.key IS NULL OR a.id <> b.id OR a.value <> b.value""",
+    "c",
+)
+def view_change_events(t):
+    at = lambda rows: graph.latest(rows).filter("value > 50").select("key", "id", "value")
+    return view_changes(at(t.aged.filter("age <= 500")), at(t.aged))

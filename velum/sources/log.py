@@ -29,6 +29,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def complete_versions(spark: SparkSession, root: str, prefix: str) -> list[int]:
+    """The numbers of the folders ``prefix`` and a number below ``root`` whose writing came to its end."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    path = make(root)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(path):
+        return []
+    found = [s.getPath() for s in files.listStatus(path)]
+    return [int(p.getName()[len(prefix) :]) for p in found if re.fullmatch(f"{prefix}[0-9]+", p.getName()) and files.exists(make(p, "_SUCCESS"))]
+
+
 def sample(entries: DataFrame, id_col: str, one_in: int, seed: int = 0) -> DataFrame:
     """One in so many entries, by a hash of the id, so that any run takes the same."""
     return entries.filter(number_of(F.col(id_col), seed) % one_in == 0)

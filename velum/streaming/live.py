@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from velum.sources.log import complete_versions
+
 
 class LiveHeads:
     """A table with the newest commit of each key, kept up to date by micro-batches.
@@ -22,16 +23,7 @@ class LiveHeads:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self.version = max(self._complete(), default=0)
-
-    def _complete(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        files = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        if not files.exists(path):
-            return []
-        found = [s.getPath() for s in files.listStatus(path)]
-        done = self.spark._jvm.org.apache.hadoop.fs.Path
-        return [int(p.getName()[1:]) for p in found if re.fullmatch("v[0-9]+", p.getName()) and files.exists(done(p, "_SUCCESS"))]
+        self.version = max(complete_versions(spark, self.root, "v"), default=0)
 
     def table(self) -> DataFrame | None:
         return self.spark.read.parquet(f"{self.root}/v{self.version}") if self.version else None
@@ -62,8 +54,12 @@ def view(heads: DataFrame, predicate: Column) -> DataFrame:
 
 
 def resume(view_now: DataFrame, commits: DataFrame, age: int, predicate: Column, key: str = "key") -> DataFrame:
-    """A view's rows after the commits behind ``age``: those of touched keys are decided anew."""
-    newer = commits.filter(F.col("age") > age)
+    """A view's rows after the commits behind ``age``: those of touched keys are decided anew.
+
+    ``commits`` are all commits: one behind ``age`` may be older than the head
+    that its key had, which the view doesn't show where the predicate failed.
+    """
+    touched = commits.filter(F.col("age") > age).select(key).distinct()
     rest = [c for c in commits.columns if c != key]
-    touched = newer.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("ts", "id")).alias("c")).select(key, "c.*")
-    return view_now.join(touched.select(key), key, "left_anti").unionByName(touched.filter(predicate).select(*view_now.columns))
+    newest = commits.join(touched, key, "left_semi").groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("ts", "id")).alias("c")).select(key, "c.*")
+    return view_now.join(touched, key, "left_anti").unionByName(newest.filter(predicate).select(*view_now.columns))
