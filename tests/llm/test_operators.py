@@ -4,9 +4,11 @@ import random
 import re
 import struct
 import time
-from collections import defaultdict
+import tracemalloc
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -15,17 +17,27 @@ from tests.llm.fixtures import ROWS, TEXTS, docs, empty, prose
 from velum.llm.automaton import Automaton
 from velum.llm.decontaminate import drop_contaminated, with_contamination
 from velum.llm.graph import connected_components, local_components
-from velum.llm.language import LanguageFilter, keep_known_languages, train_language_filter, with_language
+from velum.llm.language import LanguageFilter, _counted, keep_known_languages, ngrams, train_language_filter, with_language
 from velum.llm.linededup import line_dedup
 from velum.llm.mixing import apply_mix, mix, targets
 from velum.llm.pii import BASE, LOOSE, NEEDS, candidates, estimate_reliabilities, find_pii
 from velum.llm.secrets import Scanner, with_secrets
 from velum.llm.sharding import lookup_table, shard_names, with_shards
-from velum.llm.simhash import fingerprint, likely_pairs, link_fingerprints, near_dedup, similar_to, simhash_components, word_fingerprints
+from velum.llm.simhash import _links, _nearest, _others, fingerprint, likely_pairs, link_fingerprints, near_dedup, similar_to, simhash_components, word_fingerprints
 from velum.llm.tokens import BytePairs, with_token_counts
 from velum.llm.topk import top_k
 
 
+def peak_mb(run) -> float:
+    run()  # tables that are kept
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
 # --- Top-k -----------------------------------------------------------------------------------
 
 
@@ -101,6 +113,24 @@ def test_language_filter_learns_more_than_a_word_of_languages(spark):
     assert [p["lang"] for p in model.predict([" ".join([w] * 3) for w in words])] == model.langs
 
 
+def test_language_holds_few_ngrams_at_once():
+    texts = [prose(("en", "de")[k % 2], 400, k) for k in range(2000)]  # 4 million letters
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "de"] * 1000), pa.array(texts)], names=["lang", "text"])
+    counts = Counter()
+    for x in _counted(iter([batch])):
+        assert len(set(x.column("h").to_pylist())) == x.num_rows
+        for lang, h, n in zip(*(c.to_pylist() for c in x.columns)):
+            counts[lang, h] += n
+    for k, lang in enumerate(["en", "de"]):
+        h, n = np.unique(np.concatenate([h for _, h in ngrams(texts[k::2])]), return_counts=True)
+        assert {(lang, a): b for a, b in zip(h.view(np.int64).tolist(), n.tolist())} == {x: m for x, m in counts.items() if x[0] == lang}
+    model = LanguageFilter.build(["de", "en"], [np.unique(np.concatenate([h for _, h in ngrams(texts[k:200:2])])) for k in (1, 0)], "en")
+    assert [p["lang"] for p in model.predict(texts)] == ["en", "de"] * 1000
+    assert model.predict(texts[:9]) == [model.predict([t])[0] for t in texts[:9]]
+    assert peak_mb(lambda: [x.num_rows for x in _counted(iter([batch]))]) < 50
+    assert peak_mb(lambda: model.predict(texts)) < 30
+
+
 # --- Tokens ------------------------------------------------------------------------------------
 
 
@@ -297,6 +327,19 @@ def test_connected_components_of_a_path_and_a_star(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100)}
 
 
+def test_pairs_of_a_bucket_are_compared_in_parts():
+    r = np.random.default_rng(3)
+    fp = r.integers(0, 1 << 63, 2000, dtype=np.uint64) // np.uint64(1 << 40) << np.uint64(40)
+    fp[1000:] = fp[:1000] ^ (np.uint64(1) << r.integers(0, 3, 1000).astype(np.uint64))
+    none, number = np.zeros(len(fp), np.int64), np.arange(len(fp))
+    rows = (none, none, fp, none + 2)
+    more = (*rows, number, number, fp.view(np.int64))
+    for run in (lambda **n: _links(rows, 3, **n), lambda **n: _nearest(rows, 3, **n), lambda **n: _others(more, 3, 5, 64, **n)):  # 4 million pairs
+        found, at_once = ([c.tolist() for c in got] for got in (run(), run(pairs=1 << 23)))
+        assert found[0] and found == at_once
+        assert peak_mb(run) < 60
+
+
 # --- Secrets -----------------------------------------------------------------------------------------
 
 

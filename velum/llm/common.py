@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,6 +48,12 @@ def text_groups(sizes: Sequence[int], limit: int = 1 << 22) -> Iterator[tuple[in
         yield start, len(sizes)
 
 
+def text_parts(texts: pa.Array, limit: int = 1 << 22) -> Iterator[list[str | None]]:
+    """``texts`` as lists of at most ``limit`` bytes together, or of a single text, so that not all are Python strings at once."""
+    for a, b in text_groups(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), limit):
+        yield texts.slice(a, b - a).to_pylist()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test data."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,17 +8,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from velum.llm.common import materialize, table, text_groups
+from velum.llm.common import materialize, table, text_groups, text_parts
 
 UNKNOWN = "und"
 SIZES = (3, 4)
 RESULT = "struct<lang:string,score:double,coverage:double>"
 _RESULT = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("coverage", pa.float64())])
 BLANK = 0x20
+#: Characters of texts taken together, and of those whose n-grams are held at once; a worker's memory follows them, results don't.
+TOGETHER, AT_ONCE = 1 << 19, 1 << 16
 
 
 @lru_cache(maxsize=1)
@@ -31,7 +34,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def ngrams(texts: list[str], chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def ngrams(texts: list[str], chunk: int = AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(index of the text, 64-bit hash) of all n-grams of ``SIZES`` letters.
 
     Texts are lower-cased, and everything but letters is a blank. An n-gram may
@@ -110,7 +113,7 @@ class LanguageFilter:
     def predict(self, texts: list[str | None]) -> list[dict]:
         """Language, its share of all languages' counts, and the share of n-grams that it holds."""
         out: list[dict] = []
-        for a, b in text_groups([len(t or "") for t in texts], 1 << 21):
+        for a, b in text_groups([len(t or "") for t in texts], TOGETHER):
             part = [t or "" for t in texts[a:b]]
             n, held = self.counts(part) if self.langs else (np.zeros(len(part), np.int64), np.zeros((len(part), 0)))
             true = np.maximum(0, (held - n[:, None] * self.false_rate) / (1 - self.false_rate))
@@ -126,16 +129,15 @@ class LanguageFilter:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, hash, count) of a partition's n-grams, a row for each batch, language and hash."""
+    """(lang, hash, count) of a partition's n-grams, a row for each part of a batch, language and hash."""
     for batch in batches:
-        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lang in sorted(set(langs)):
-            own = [t for t, x in zip(texts, langs) if x == lang]
-            for a, b in text_groups(list(map(len, own)), 1 << 22):
-                found = [h for _, h in ngrams(own[a:b])]
+        langs, texts = batch.columns
+        for lang in sorted(pc.unique(langs).to_pylist()):
+            for part in text_parts(texts.filter(pc.equal(langs, lang)), TOGETHER):
+                found = [h for _, h in ngrams(part)]
                 if found:
                     h, n = np.unique(np.concatenate(found), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "h", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(h)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "h", "n"])
 
 
 def train_language_filter(
@@ -155,7 +157,8 @@ def train_language_filter(
     known = (counted if max_languages is None else counted.limit(max_languages)).collect()
     if not known:
         return LanguageFilter([], np.zeros(slots, np.uint8), np.zeros(0), UNKNOWN)
-    taken = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, docs_per_language / r["count"])) for r in known], "lang string, taken double")
+    taken = pa.table({"lang": pa.array([r["lang"] for r in known], pa.string()), "taken": pa.array([min(1.0, docs_per_language / r["count"]) for r in known], pa.float64())})
+    taken = docs.sparkSession.createDataFrame(taken)  # rows in Python would start a second set of workers
     place = F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.join(F.broadcast(taken), "lang").filter(place < F.col("taken")).select("lang", "text")
     counts = materialize(sample.mapInArrow(_counted, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n")), "ngrams")
@@ -175,7 +178,7 @@ def language_of(spark: SparkSession, model: LanguageFilter):
 
     @F.arrow_udf(RESULT)
     def predict(texts: pa.Array) -> pa.Array:
-        return pa.array(sent.value.predict(texts.to_pylist()), _RESULT)
+        return pa.array([x for part in text_parts(texts, TOGETHER) for x in sent.value.predict(part)], _RESULT)
 
     return predict
 

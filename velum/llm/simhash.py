@@ -19,6 +19,8 @@ SEED = 42
 BITS = 64
 #: Ids up to which a table of ids, 8 bytes each, is broadcast.
 SMALL = 1_000_000
+#: Pairs of fingerprints that are compared at once; a worker's memory follows them, results don't.
+PAIRS = 1 << 19
 
 
 #: The bits of each byte, lowest first, and where the counts of each of 8 bytes begin.
@@ -86,7 +88,7 @@ def ball(bits: int, radius: int) -> list[int]:
     return [sum(1 << j for j in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
 
 
-def _links(rows: tuple[np.ndarray, ...], radius: int, pairs: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+def _links(rows: tuple[np.ndarray, ...], radius: int, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint, smallest fingerprint linked with it) within whole buckets; rows are sorted by key and tile."""
     key, tile, fp, role = rows
     group = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
@@ -121,7 +123,19 @@ def _links(rows: tuple[np.ndarray, ...], radius: int, pairs: int = 1 << 22) -> t
     return known[u], known[label[u]]
 
 
-def _nearest(rows: tuple[np.ndarray, ...], radius: int, pairs: int = 1 << 22) -> tuple[np.ndarray, ...]:
+def _first(found: list[tuple[np.ndarray, ...]], most: int) -> tuple[np.ndarray, ...]:
+    """Of the pairs (u, v, d) found, each once, the ``most`` first of each u by d and v."""
+    u, v, d = map(np.concatenate, zip(*found))
+    order = np.lexsort((v, d, u))
+    u, v, d = u[order], v[order], d[order]
+    new = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])][: len(u)]
+    u, v, d = u[new], v[new], d[new]
+    start = np.flatnonzero(np.r_[True, u[1:] != u[:-1]][: len(u)])
+    kept = np.arange(len(u)) - np.repeat(start, np.diff(np.r_[start, len(u)])) < most
+    return u[kept], v[kept], d[kept].astype(np.int32)
+
+
+def _nearest(rows: tuple[np.ndarray, ...], radius: int, pairs: int = PAIRS) -> tuple[np.ndarray, ...]:
     """(fingerprint, the nearest smaller one, distance) within whole buckets; the smallest of equally near ones."""
     key, tile, fp, role = rows
     group = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
@@ -140,15 +154,12 @@ def _nearest(rows: tuple[np.ndarray, ...], radius: int, pairs: int = 1 << 22) ->
         right = index[np.repeat(first[group[probe[at:to]]], m) + np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)]
         far = np.bitwise_count(fp[left] ^ fp[right])
         near = np.flatnonzero((far <= radius) & (signed[right] < signed[left]))
-        u, v, d = signed[left[near]], signed[right[near]], far[near]
-        order = np.lexsort((v, d, u))
-        order = order[np.r_[True, u[order][1:] != u[order][:-1]]] if len(order) else order
-        found.append((u[order], v[order], d[order].astype(np.int32)))
+        found.append(_first([(signed[left[near]], signed[right[near]], far[near])], 1))
         at = to
-    return tuple(map(np.concatenate, zip(*found))) if found else (signed[:0], signed[:0], np.zeros(0, np.int32))
+    return _first(found, 1) if found else (signed[:0], signed[:0], np.zeros(0, np.int32))
 
 
-def _others(rows: tuple[np.ndarray, ...], radius: int, most: int, apart: int, pairs: int = 1 << 22) -> tuple[np.ndarray, ...]:
+def _others(rows: tuple[np.ndarray, ...], radius: int, most: int, apart: int, pairs: int = PAIRS) -> tuple[np.ndarray, ...]:
     """(number, a smaller number of another component, distance) within whole buckets: for each number the ``most`` first by distance and number."""
     key, tile, fp, role, number, component = rows[:6]
     mark = rows[6].view(np.uint64)  # the bits of a negative number are counted without its sign
@@ -170,16 +181,9 @@ def _others(rows: tuple[np.ndarray, ...], radius: int, most: int, apart: int, pa
         left, right = left[near], right[near]
         shared = np.bitwise_count(mark[left] ^ mark[right])
         kept = np.flatnonzero((shared <= apart) & (component[right] != component[left]))
-        u, v, d = number[left[kept]], number[right[kept]], shared[kept]
-        order = np.lexsort((v, d, u))
-        u, v, d = u[order], v[order], d[order]
-        new = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])][: len(u)]
-        u, v, d = u[new], v[new], d[new]
-        start = np.flatnonzero(np.r_[True, u[1:] != u[:-1]][: len(u)])
-        kept = np.arange(len(u)) - np.repeat(start, np.diff(np.r_[start, len(u)])) < most
-        found.append((u[kept], v[kept], d[kept].astype(np.int32)))
+        found.append(_first([(number[left[kept]], number[right[kept]], shared[kept])], most))
         at = to
-    return tuple(map(np.concatenate, zip(*found))) if found else (number[:0], number[:0], np.zeros(0, np.int32))
+    return _first(found, most) if found else (number[:0], number[:0], np.zeros(0, np.int32))
 
 
 def _verify(radius: int, nearest: bool = False, most: int = 0, apart: int = BITS, rows_at_once: int = 1 << 18):
