@@ -340,6 +340,15 @@ def test_pairs_of_a_bucket_are_compared_in_parts():
         assert peak_mb(run) < 60
 
 
+def test_a_group_met_under_many_keys_is_merged_as_it_is_found():
+    n, keys = 600, 60
+    none, number = np.zeros(n * keys, np.int64), np.tile(np.arange(n), keys)
+    rows = (np.repeat(np.arange(keys), n), none, none.view(np.uint64), none + 2, number, number, none)
+    u, v, d = _others(rows, 3, 512, 16)
+    assert list(zip(u.tolist(), v.tolist())) == [(a, b) for a in range(n) for b in range(min(a, 512))] and not d.any()
+    assert peak_mb(lambda: _others(rows, 3, 512, 16)) < 120
+
+
 # --- Secrets -----------------------------------------------------------------------------------------
 
 

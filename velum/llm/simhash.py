@@ -135,6 +135,14 @@ def _first(found: list[tuple[np.ndarray, ...]], most: int) -> tuple[np.ndarray,
     return u[kept], v[kept], d[kept].astype(np.int32)
 
 
+def _gather(found: list[tuple[np.ndarray, ...]], part: tuple[np.ndarray, ...], most: int) -> None:
+    """Add a part to those found; they are merged as soon as they hold ``PAIRS`` pairs and twice the last merge's."""
+    found.append(part)
+    held = sum(len(x[0]) for x in found)
+    if len(found) > 1 and held > max(PAIRS, 2 * len(found[0][0])):
+        found[:] = [_first(found, most)]
+
+
 def _nearest(rows: tuple[np.ndarray, ...], radius: int, pairs: int = PAIRS) -> tuple[np.ndarray, ...]:
     """(fingerprint, the nearest smaller one, distance) within whole buckets; the smallest of equally near ones."""
     key, tile, fp, role = rows
@@ -154,7 +162,7 @@ def _nearest(rows: tuple[np.ndarray, ...], radius: int, pairs: int = PAIRS) -> t
         right = index[np.repeat(first[group[probe[at:to]]], m) + np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)]
         far = np.bitwise_count(fp[left] ^ fp[right])
         near = np.flatnonzero((far <= radius) & (signed[right] < signed[left]))
-        found.append(_first([(signed[left[near]], signed[right[near]], far[near])], 1))
+        _gather(found, _first([(signed[left[near]], signed[right[near]], far[near])], 1), 1)
         at = to
     return _first(found, 1) if found else (signed[:0], signed[:0], np.zeros(0, np.int32))
 
@@ -181,7 +189,7 @@ def _others(rows: tuple[np.ndarray, ...], radius: int, most: int, apart: int, pa
         left, right = left[near], right[near]
         shared = np.bitwise_count(mark[left] ^ mark[right])
         kept = np.flatnonzero((shared <= apart) & (component[right] != component[left]))
-        found.append(_first([(number[left[kept]], number[right[kept]], shared[kept])], most))
+        _gather(found, _first([(number[left[kept]], number[right[kept]], shared[kept])], most), most)
         at = to
     return _first(found, most) if found else (number[:0], number[:0], np.zeros(0, np.int32))
 
