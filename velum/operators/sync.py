@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from velum.operators import bloom
 from velum.sources.log import written
@@ -13,13 +14,21 @@ def cycles(average_ms: float) -> int:
     return max(1, min(3, int(1000 // max(average_ms, 300))))
 
 
-def exchange(a: DataFrame, b: DataFrame, column: str, rounds: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """What each peer lacks after one round, as ``(for a, for b)``: what the other has and the own filter surely hasn't."""
-    n = max(1, a.count(), b.count())
-    bits, hashes = bloom.sizes(n, bloom.sync_rate(n, rounds))
-    for_b = bloom.absent(a, column, bloom.fill(b, column, bits, hashes, seed), bits, hashes, seed)
-    for_a = bloom.absent(b, column, bloom.fill(a, column, bits, hashes, seed), bits, hashes, seed)
-    return for_a, for_b
+def sent(lacks: DataFrame, held: DataFrame, column: str, count: int, seed: int) -> DataFrame:
+    """What a peer that has ``held`` gets in one round: of the values it lacks, those that its filter surely hasn't.
+
+    A filter never denies a value that it was filled with, so asking it for the
+    values that the peer lacks gives the same as asking it for all of the other's.
+    Only the blocks that are asked for are filled.
+    """
+    asked = lacks.select(bloom.place(F.col(column), count, seed)["block"].alias("__block")).distinct()
+    wanted = held.select(column, bloom.place(F.col(column), count, seed)["block"].alias("__block")).join(asked, "__block", "left_semi")
+    return bloom.absent_blocks(lacks, column, bloom.fill_blocks(wanted, column, count, seed), count, seed)
+
+
+def lacking(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """What ``b`` has and ``a`` has not; null is a value."""
+    return b.join(a.select(F.col(column).alias("__held")), F.col(column).eqNullSafe(F.col("__held")), "left_anti")
 
 
 def converge(a: DataFrame, b: DataFrame, column: str, rounds: int = 3, most: int = 10) -> tuple[DataFrame, DataFrame, int]:
@@ -27,13 +36,22 @@ def converge(a: DataFrame, b: DataFrame, column: str, rounds: int = 3, most: int
 
     A new seed in each round lets values through that an earlier filter seemed to
     hold. Rounds end when neither peer lacks anything; after ``most`` of them the
-    rest is sent by comparing values.
+    rest is sent by comparing values. What a peer lacks is compared once and from
+    then on is what the round before left over; only what is sent is written.
     """
+    a, b = written(a, "peer"), written(b, "peer")
+    peers, lacks = [a, b], [written(lacking(a, b, column), "lacks"), written(lacking(b, a, column), "lacks")]
+    held, left = [a.count(), b.count()], [d.count() for d in lacks]
     for k in range(most):
-        lacks_a, lacks_b = b.join(a.select(column), column, "left_anti"), a.join(b.select(column), column, "left_anti")
-        if lacks_a.isEmpty() and lacks_b.isEmpty():
-            return a, b, k
-        for_a, for_b = exchange(a, b, column, rounds, k + 1)
-        a, b = written(a.unionByName(for_a), "peer"), written(b.unionByName(for_b), "peer")
-    lacks_a, lacks_b = b.join(a.select(column), column, "left_anti"), a.join(b.select(column), column, "left_anti")
-    return a.unionByName(lacks_a), b.unionByName(lacks_b), most
+        if not any(left):
+            return *peers, k
+        n = max(1, *held)
+        count = bloom.blocks(n, bloom.sizes(n, bloom.sync_rate(n, rounds))[0])
+        got = [written(sent(lacks[i], peers[i], column, count, k + 1), "sent") if left[i] else None for i in (0, 1)]
+        for i in (0, 1):
+            if left[i]:
+                arrived = got[i].count()
+                peers[i], held[i] = peers[i].unionByName(got[i]), held[i] + arrived
+                lacks[i] = written(lacking(got[i], lacks[i], column), "lacks") if arrived < left[i] else lacks[i].limit(0)
+                left[i] -= arrived
+    return peers[0].unionByName(lacks[0]), peers[1].unionByName(lacks[1]), most
