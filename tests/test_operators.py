@@ -125,6 +125,55 @@ def test_live_heads_go_on_after_a_restart(spark, tmp_path):
     assert {(x.key, x.id) for x in LiveHeads(spark, str(tmp_path)).table().collect()} == {("k", 5), ("j", 7), ("i", 1)}
 
 
+def forest(made, n):
+    """Rows in any order: parents of the same key or of another one, missing ones, roots."""
+    rows = [(i, f"k{made.randrange(6)}" if made.random() < 0.2 else f"k{i % 3}", None if made.random() < 0.02 or i < 3 else i + 100_000 if made.random() < 0.02 else max(0, i - made.randrange(1, 9)), i) for i in range(n)]
+    made.shuffle(rows)
+    return rows
+
+
+@pytest.fixture
+def small_batches(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BATCH", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def paths_up(rows):
+    up = {r[0]: r[2] for r in rows}
+
+    def path(i):
+        out = []
+        while i in up:
+            out.append(i)
+            i = up[i]
+        return out, i
+
+    return up, path
+
+
+def test_depths_and_nearest_by_brute_force(spark, small_batches):
+    rows = forest(random.Random(7), 600)
+    up, path = paths_up(rows)
+    c = spark.createDataFrame(rows, "id long, key string, parent long, ts long")
+    for given in (c, c.orderBy("key", "ts")):
+        depth = {i: len(p) - (end is None) for i in up for p, end in [path(i)]}
+        assert {r.id: r.depth for r in graph.depths(given).collect()} == depth
+        near = {i: next((x for x in path(i)[0] if x % 7), None) for i in up}
+        assert {r.id: r.found for r in graph.nearest(given, F.col("id") % 7 != 0).collect()} == near
+
+
+@pytest.mark.parametrize("walk", ["depths"])
+def test_keys_that_stand_together_take_no_rounds(spark, monkeypatch, walk):
+    """Rows that have come to their end took part in each round's join, all of them in the task of null."""
+    c = spark.range(0, 6600, 1, 2).select("id", F.floor(F.col("id") / 66).alias("key"), F.when(F.col("id") % 66 > 0, F.col("id") - 1).alias("parent"))
+    names, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: names.append(name) or write(df, name))
+    got = graph.depths(c).filter("depth <> id % 66") if walk == "depths" else graph.nearest(c, F.col("id") % 66 < 9).filter("found <> id - greatest(0, id % 66 - 8)")
+    assert got.isEmpty() and names == ["jumps"]
+
+
 def test_depth_of_a_long_chain_and_a_cycle(spark):
     chain = spark.range(20_000).select("id", F.lit("k").alias("key"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.col("id").alias("ts"))
     assert graph.depths(chain).agg(F.max("depth")).first()[0] == 19_999

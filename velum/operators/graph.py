@@ -10,6 +10,10 @@ from velum.functions.columns import rendezvous
 from velum.sources.log import written
 
 
+#: So many rows at least are looked at together in Python: some 30 MB of memory.
+BATCH = 200_000
+
+
 def newest_first() -> list[Column]:
     return [F.desc("ts"), F.desc("id")]
 
@@ -62,42 +66,97 @@ def with_parent(commits: DataFrame, columns: list[str]) -> DataFrame:
     return commits.join(other, "parent")
 
 
-def _jumped(jump: DataFrame, most: int, advance) -> DataFrame:
-    """``jump(id, up, ...)`` with every ``up`` followed to its end: jumps double in each round, so n generations take log n joins.
+def _by_batches(rows: DataFrame, weights: str | None, carried: str | None) -> DataFrame:
+    """``rows(id, up, ...)`` with every ``up`` followed as far as it leads within some hundred thousand neighbouring rows.
+
+    ``weights`` are added up on the way, ``carried`` is taken from where it ends.
+    """
 
+    def follow(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def done(parts: list):
+            t = pa.Table.from_batches(parts).combine_chunks()
+            ids, up = t["id"], t["up"]
+            at = pc.index_in(up, value_set=ids, skip_nulls=True)
+            if pc.count_distinct(ids).as_py() == len(ids) and at.null_count < len(at):
+                own = np.arange(len(ids))
+                links = at.is_valid().to_numpy()
+                to = np.where(links, pc.fill_null(at, 0).to_numpy(), own)
+                add = t[weights].to_numpy() if weights else np.zeros(len(ids), "int64")
+                way = np.where(links, add, 0)
+                for _ in range(len(ids).bit_length()):  # a cycle stays one
+                    further = to[to]
+                    if (further == to).all():
+                        break
+                    way, to = way + way[to], further
+                if ((to != own) == links).all() and not links[to].any():
+                    end = pa.array(to)
+                    t = t.set_column(t.schema.get_field_index("up"), "up", up.take(end))
+                    if weights:
+                        t = t.set_column(t.schema.get_field_index(weights), weights, pa.array(way + add[to]))
+                    if carried:
+                        t = t.set_column(t.schema.get_field_index(carried), carried, t[carried].take(end))
+            return t.to_batches(max_chunksize=20_000)
+
+        parts, n = [], 0
+        for batch in batches:
+            parts.append(batch)
+            n += batch.num_rows
+            if n >= BATCH:
+                yield from done(parts)
+                parts, n = [], 0
+        if parts:
+            yield from done(parts)
+
+    return rows.mapInArrow(follow, rows.schema)
+
+
+def _jumped(jump: DataFrame, weights: str | None = None, carried: str | None = None) -> DataFrame:
+    """``jump(id, up, ...)`` with every ``up`` followed to its end, ``weights`` added up and ``carried`` taken from the first that has one.
+
+    First within neighbouring rows: a key's commits mostly stand together. What
+    is left leads to rows of other batches; only these double their jumps, so n
+    generations take log n joins, and rows that have come to their end stay out
+    of them (in a join on ``up``, all of them would meet in the task of null).
     Each round is written to the shared folder. A chain that is longer than the
     table is a cycle, which is an error.
     """
-    jump = written(jump, "jumps")
-    reach = 1
-    while not jump.filter("up is not null").isEmpty():
+    now = written(_by_batches(jump, weights, carried), "jumps")
+    some = now.filter("up is not null")
+    if some.isEmpty():
+        return now
+    ups = some.select(F.col("up").alias("id")).distinct()
+    met = [c for c in (weights, carried) if c]
+
+    def advance(rows: DataFrame, above: DataFrame) -> DataFrame:
+        above = above.select(F.col("id").alias("up"), F.col("up").alias("__up"), *[F.col(c).alias(f"__{c}") for c in met])
+        new = {"up": F.col("__up")} | ({weights: F.col(weights) + F.coalesce(f"__{weights}", F.lit(0))} if weights else {}) | ({carried: F.coalesce(carried, f"__{carried}")} if carried else {})
+        return rows.join(above, "up", "left").select(*[new.get(c, F.col(c)).alias(c) for c in rows.columns])
+
+    hubs = written(now.join(ups, "id", "left_semi").select("id", "up", *met), "hubs")
+    most, reach, ended, going = hubs.count(), 1, hubs.filter("up is null"), hubs.filter("up is not null")
+    while not going.isEmpty():
         if reach > 2 * most:
             raise ValueError("the parents form a cycle")
-        jump = written(advance(jump), "jumps")
+        moved = written(advance(going, ended.unionByName(going)), "hubs")
+        ended, going = ended.unionByName(moved.filter("up is null")), moved.filter("up is not null")
         reach *= 2
-    return jump
+    return now.filter("up is null").unionByName(advance(some, ended))
 
 
 def depths(commits: DataFrame) -> DataFrame:
     """``(id, key, depth)``, a root having depth 0; a parent that isn't in the table counts as a root's child."""
     jump = commits.select("id", "key", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-
-    def advance(now: DataFrame) -> DataFrame:
-        above = now.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        return now.join(above, "up", "left").select("id", "key", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-
-    return _jumped(jump, commits.count(), advance).select("id", "key", "depth")
+    return _jumped(jump, weights="depth").select("id", "key", "depth")
 
 
 def nearest(commits: DataFrame, good: Column) -> DataFrame:
     """``(id, found)``: each commit itself if it is ``good``, else its nearest ancestor that is, null if none is."""
     marked = commits.select("id", F.when(~F.coalesce(good, F.lit(False)), F.col("parent")).alias("up"), F.when(good, F.col("id")).alias("found"))
-
-    def advance(now: DataFrame) -> DataFrame:
-        above = now.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("found").alias("found2"))
-        return now.join(above, "up", "left").select("id", F.col("up2").alias("up"), F.coalesce("found", "found2").alias("found"))
-
-    return _jumped(marked, commits.count(), advance).select("id", "found")
+    return _jumped(marked, carried="found").select("id", "found")
 
 
 def jump_index(commits: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
