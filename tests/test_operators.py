@@ -164,7 +164,7 @@ def test_depths_and_nearest_by_brute_force(spark, small_batches):
         assert {r.id: r.found for r in graph.nearest(given, F.col("id") % 7 != 0).collect()} == near
 
 
-@pytest.mark.parametrize("walk", ["depths"])
+@pytest.mark.parametrize("walk", ["depths", "nearest"])
 def test_keys_that_stand_together_take_no_rounds(spark, monkeypatch, walk):
     """Rows that have come to their end took part in each round's join, all of them in the task of null."""
     c = spark.range(0, 6600, 1, 2).select("id", F.floor(F.col("id") / 66).alias("key"), F.when(F.col("id") % 66 > 0, F.col("id") - 1).alias("parent"))
