@@ -94,11 +94,10 @@ def _by_batches(rows: DataFrame, weights: str | None, carried: str | None) -> Da
                     way, to = way + way[to], further
                 if ((to != own) == links).all() and not links[to].any():
                     end = pa.array(to)
-                    t = t.set_column(t.schema.get_field_index("up"), "up", up.take(end))
-                    if weights:
-                        t = t.set_column(t.schema.get_field_index(weights), weights, pa.array(way + add[to]))
-                    if carried:
-                        t = t.set_column(t.schema.get_field_index(carried), carried, t[carried].take(end))
+                    new = {"up": up.take(end)} | ({weights: pa.array(way + add[to])} if weights else {}) | ({carried: t[carried].take(end)} if carried else {})
+                    for at, field in enumerate(t.schema):
+                        if field.name in new:  # a field stays as it is, or batches would differ in what may be null
+                            t = t.set_column(at, field, new[field.name])
             return t.to_batches(max_chunksize=20_000)
 
         parts, n = [], 0
