@@ -174,6 +174,25 @@ def test_keys_that_stand_together_take_no_rounds(spark, monkeypatch, walk):
     assert got.isEmpty() and names == ["jumps"]
 
 
+def test_common_ancestors_by_brute_force(spark, small_batches):
+    made = random.Random(8)
+    rows = forest(made, 500)
+    up, path = paths_up(rows)
+    keys = {r[0]: r[1] for r in rows}
+    asked = sorted({(keys[a], a, b) for a in up for b in [made.choice(list(up)), up[a], max(0, a - made.randrange(30))] if b in up})
+    asked += [("none", 1, 2), (None, 3, 4)]
+    want = {(k, a, b): x for k, a, b in asked for x in [next((x for x in path(a)[0] if x in set(path(b)[0])), None)] if x is not None}
+    c, pairs = spark.createDataFrame(rows, "id long, key string, parent long, ts long"), spark.createDataFrame(asked, "key string, a long, b long")
+    assert {(r.key, r.a, r.b): r.base for r in graph.common_ancestor(spark, c, pairs).collect()} == want
+
+
+def test_ancestors_of_whole_keys_take_one_pass(spark, monkeypatch):
+    c = spark.range(6600).select("id", F.floor(F.col("id") / 66).alias("key"), F.when(F.col("id") % 66 > 1, F.col("id") - 2).when(F.col("id") % 66 == 1, F.col("id") - 1).alias("parent"))
+    pairs = c.filter("id % 66 = 65").select("key", F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+    monkeypatch.setattr(graph, "jump_index", None)
+    assert graph.common_ancestor(spark, c, pairs).filter("base = 66 * key").count() == 100
+
+
 def test_depth_of_a_long_chain_and_a_cycle(spark):
     chain = spark.range(20_000).select("id", F.lit("k").alias("key"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.col("id").alias("ts"))
     assert graph.depths(chain).agg(F.max("depth")).first()[0] == 19_999

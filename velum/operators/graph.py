@@ -169,14 +169,14 @@ def jump_index(commits: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return deep, jumps
 
 
-def common_ancestor(spark: SparkSession, commits: DataFrame, pairs: DataFrame, index: tuple[DataFrame, list[DataFrame]] | None = None) -> DataFrame:
-    """The nearest common ancestor of each ``(key, a, b)`` with one.
+def _by_jumps(pairs: DataFrame, index: tuple[DataFrame, list[DataFrame]]) -> DataFrame:
+    """``(key, a, b, base)`` of those pairs that have one.
 
     Jumps of 1, 2, 4 and so on generations are tables; both sides are brought to
     the same depth and then up together, the longest jumps first. So rows never
     grow beyond the pairs and the joins are log of the depth.
     """
-    deep, jumps = index or jump_index(commits)
+    deep, jumps = index
     of = lambda name: deep.select(F.col("id").alias(name), F.col("depth").alias(f"d{name}"))
     now = pairs.select("key", "a", "b", F.col("a").alias("x"), F.col("b").alias("y")).join(of("x"), "x").join(of("y"), "y")
     now = now.select("key", "a", "b", *[F.when(F.col("dx") >= F.col("dy"), F.col(p)).otherwise(F.col(q)).alias(r) for p, q, r in (("x", "y", "x"), ("y", "x", "y"))], F.abs(F.col("dx") - F.col("dy")).alias("gap"))
@@ -192,6 +192,86 @@ def common_ancestor(spark: SparkSession, commits: DataFrame, pairs: DataFrame, i
     return above.select("key", "a", "b", base.alias("base")).filter("base is not null")
 
 
+def _by_keys(commits: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(key, a, b, base, open)``: the nearest common ancestor within the commits of whole keys; ``open`` where the way leaves them before it is found.
+
+    Commits and pairs are dealt out by key and come in its order, so that keys
+    are whole up to five times ``BATCH`` commits.
+    """
+    kind = commits.schema["id"].dataType
+    none = F.lit(None).cast(kind)
+    rows = commits.select("key", "id", "parent", none.alias("a"), none.alias("b")).unionByName(pairs.select("key", none.alias("id"), none.alias("parent"), F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b")))
+    dealt = rows.repartition("key").sortWithinPartitions("key")
+    result = pairs.select("key", F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), none.alias("base"), F.lit(True).alias("open")).schema
+
+    def find(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def done(t):
+            asked = t.filter(pc.is_valid(t["a"]))
+            if not len(asked):
+                return
+            t = t.filter(pc.is_valid(t["id"])).combine_chunks()
+            x, y = (pc.fill_null(pc.index_in(asked[c], value_set=t["id"]), -1).to_numpy().copy() for c in "ab")
+            base, still = np.full(len(asked), -1), np.ones(len(asked), "bool")
+            if len(t) and pc.count_distinct(t["id"]).as_py() == len(t):
+                at = pc.index_in(t["parent"], value_set=t["id"], skip_nulls=True)
+                own, links = np.arange(len(t), dtype="int32"), at.is_valid().to_numpy()
+                outside = pc.is_valid(t["parent"]).to_numpy() & ~links
+                jumps, depth = [np.where(links, pc.fill_null(at, 0).to_numpy(), own).astype("int32")], links.astype("int64")
+                while len(jumps) <= len(t).bit_length() and not (jumps[-1][jumps[-1]] == jumps[-1]).all():
+                    depth = depth + depth[jumps[-1]]
+                    jumps.append(jumps[-1][jumps[-1]])
+                ends = jumps[-1]
+                if not links[ends].any():
+                    there = (x >= 0) & (y >= 0)
+                    met = there & (ends[x] == ends[y])
+                    still = ~met & ~(there & ~outside[ends[x]] & ~outside[ends[y]])
+                    p, q = x[met], y[met]
+                    p, q = np.where(depth[p] >= depth[q], p, q), np.where(depth[p] >= depth[q], q, p)
+                    gap = depth[p] - depth[q]
+                    for k in range(len(jumps)):
+                        p = np.where(gap >> k & 1, jumps[k][p], p)
+                    for jump in reversed(jumps):
+                        apart = jump[p] != jump[q]
+                        p, q = np.where(apart, jump[p], p), np.where(apart, jump[q], q)
+                    base[met] = np.where(p == q, p, jumps[0][p])
+            keep = pa.array((base >= 0) | still)
+            found = t["id"].take(pa.array(base, mask=base < 0))
+            yield from pa.table({"key": asked["key"], "a": asked["a"], "b": asked["b"], "base": found, "open": pa.array(still)}).filter(keep).to_batches(max_chunksize=20_000)
+
+        parts, n = [], 0
+        for batch in batches:
+            parts.append(batch)
+            n += batch.num_rows
+            if n >= BATCH:
+                t = pa.Table.from_batches(parts)
+                last = pc.index(pc.equal(t["key"], t["key"][-1]), True).as_py() if t["key"][-1].is_valid else n
+                cut = last or (n if n >= 5 * BATCH else 0)
+                if cut:
+                    yield from done(t.slice(0, cut))
+                    parts, n = t.slice(cut).to_batches(), n - cut
+        if n:
+            yield from done(pa.Table.from_batches(parts))
+
+    return dealt.mapInArrow(find, result)
+
+
+def common_ancestor(spark: SparkSession, commits: DataFrame, pairs: DataFrame, index: tuple[DataFrame, list[DataFrame]] | None = None) -> DataFrame:
+    """The nearest common ancestor of each ``(key, a, b)`` with one.
+
+    It is looked for among the commits of the key first, which takes one pass over
+    the commits; only for what leads further, to other keys or through more
+    commits than are looked at together, the tables of jumps are made.
+    """
+    found = written(_by_keys(commits, pairs), "pairs")
+    rest = found.filter("open").select("key", "a", "b")
+    met = found.filter("not open").select("key", "a", "b", "base")
+    return met if rest.isEmpty() else met.unionByName(_by_jumps(rest, index or jump_index(commits)))
+
+
 def revert_connection(commits: DataFrame, connections: list) -> DataFrame:
     """``(key, id)``: each key's head, or where a given connection made it the newest older commit of another one."""
     now = heads(commits).select("key", F.col("id").alias("head"), F.col("ts").alias("head_ts"), F.col("connection").isin(connections).alias("theirs"))

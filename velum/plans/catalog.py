@@ -268,7 +268,7 @@ _PAIRS = """ranked AS (SELECT key, id, row_number() OVER (PARTITION BY key ORDER
 )
 def lca(t):
     ranked = graph.leaves(t.c).withColumn("r", F.row_number().over(W.partitionBy("key").orderBy(*graph.newest_first())))
-    pairs = ranked.filter("r = 1").select("key", col("id").alias("a")).join(ranked.filter("r = 2").select("key", col("id").alias("b")), "key")
+    pairs = ranked.filter("r <= 2").groupBy("key").agg(F.max(F.when(col("r") == 1, col("id"))).alias("a"), F.max(F.when(col("r") == 2, col("id"))).alias("b")).filter("b is not null")
     return graph.common_ancestor(t.spark, t.c, pairs)
 
 
