@@ -95,6 +95,14 @@ def test_merge_of_three_tips(spark):
     assert (rows["l"].base, rows["l"].value, rows["l"].name) == (None, 2, "x")
 
 
+def test_tips_of_whole_keys_need_no_tables_of_jumps(spark, monkeypatch):
+    """Three tips a key; their base is the key's first commit, whose value no tip but the newest has left."""
+    c = spark.range(300).select("id", F.floor(F.col("id") / 4).alias("key"), (F.col("id") % 4).alias("connection"), F.when(F.col("id") % 4 > 0, F.col("id") - F.col("id") % 4).alias("parent"), F.col("id").alias("ts"), F.when(F.col("id") % 4 == 3, 9).otherwise(5).alias("value"))
+    monkeypatch.setattr(graph, "jump_index", None)
+    rows = graph.merge_tips(spark, c, ["value"]).collect()
+    assert sorted((r.key, r.base, r.tips, r.value) for r in rows) == [(k, 4 * k, 3, 9) for k in range(75)]
+
+
 def test_rounds_end_with_both_peers_whole(spark):
     values = spark.range(3000).withColumnRenamed("id", "v")
     a, b, rounds = sync.converge(values.filter("v < 2000"), values.filter("v >= 1000"), "v")

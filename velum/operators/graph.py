@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -259,7 +262,7 @@ def _by_keys(commits: DataFrame, pairs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(find, result)
 
 
-def common_ancestor(spark: SparkSession, commits: DataFrame, pairs: DataFrame, index: tuple[DataFrame, list[DataFrame]] | None = None) -> DataFrame:
+def common_ancestor(spark: SparkSession, commits: DataFrame, pairs: DataFrame, index: Callable[[], tuple[DataFrame, list[DataFrame]]] | None = None) -> DataFrame:
     """The nearest common ancestor of each ``(key, a, b)`` with one.
 
     It is looked for among the commits of the key first, which takes one pass over
@@ -269,7 +272,7 @@ def common_ancestor(spark: SparkSession, commits: DataFrame, pairs: DataFrame, i
     found = written(_by_keys(commits, pairs), "pairs")
     rest = found.filter("open").select("key", "a", "b")
     met = found.filter("not open").select("key", "a", "b", "base")
-    return met if rest.isEmpty() else met.unionByName(_by_jumps(rest, index or jump_index(commits)))
+    return met if rest.isEmpty() else met.unionByName(_by_jumps(rest, index() if index else jump_index(commits)))
 
 
 def revert_connection(commits: DataFrame, connections: list) -> DataFrame:
@@ -293,7 +296,8 @@ def merge_base(spark: SparkSession, commits: DataFrame, tips: DataFrame) -> Data
     Tips are folded in pairs, so n of them take log n rounds. A key of one tip has itself.
     """
     now = written(tips.select("key", "id").distinct(), "tips")
-    index = jump_index(commits)
+    commits = written(commits.select("key", "id", "parent"), "commits")
+    index = functools.cache(lambda: jump_index(commits))
     while not now.groupBy("key").count().filter("count > 1").isEmpty():
         place = now.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("id")) - 1)
         pairs = place.groupBy("key", F.floor(F.col("n") / 2).alias("pair")).agg(F.min("id").alias("a"), F.max("id").alias("b"))
@@ -312,8 +316,7 @@ def merge_tips(spark: SparkSession, commits: DataFrame, fields: list[str], by: s
     base is null and every value counts as set.
     """
     newest = leaves(commits).groupBy("key", by).agg(F.max_by(F.struct("id", "ts", *fields), F.struct("ts", "id")).alias("c")).select("key", "c.*")
-    several = newest.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    tips = written(newest.join(several, "key"), "leaves")
+    tips = written(newest.withColumn("n", F.count("*").over(W.partitionBy("key"))).filter("n > 1").drop("n"), "leaves")
     base = merge_base(spark, commits, tips)
     values = commits.select(F.col("id").alias("base"), *[F.col(f).alias(f"__base_{f}") for f in fields])
     sides = tips.join(base, "key", "left").join(values, "base", "left")
